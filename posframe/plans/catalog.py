@@ -1,0 +1,4 @@
+"""Named queries over the reference tables, each with its DuckDB SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
