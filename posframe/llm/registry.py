@@ -1,9 +1,10 @@
 """The llm queries by name, and the DuckDB SQL of those that SQL can express."""
 
-from posframe.llm import bpe, packing, simhash
+from posframe.llm import bpe, packing, simhash, substrings
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op10_simhash": simhash.op10_simhash,
 }
