@@ -1,11 +1,12 @@
 """The llm queries by name, and the DuckDB SQL of those that SQL can express."""
 
-from posframe.llm import bpe, packing, simhash, substrings
+from posframe.llm import bpe, packing, quality, simhash, substrings
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
+    "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
