@@ -1,9 +1,10 @@
 """The llm queries by name, and the DuckDB SQL of those that SQL can express."""
 
-from posframe.llm import bpe, packing, quality, simhash, substrings
+from posframe.llm import bpe, lm, packing, quality, simhash, substrings
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_lm_scores": lm.op4_lm_scores,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op9_quality": quality.op9_quality,
