@@ -1,13 +1,16 @@
 """The llm queries by name, and the DuckDB SQL of those that SQL can express."""
 
-from posframe.llm import bpe, lm, packing, quality, simhash, substrings
+from posframe.llm import bpe, lm, packing, quality, simhash, substrings, warc
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_lm_scores": lm.op4_lm_scores,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
+    "op7_warc": warc.op7_warc,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_warc": warc.OP7_SQL,
+}
