@@ -1,6 +1,6 @@
 """The llm queries by name, and the DuckDB SQL of those that SQL can express."""
 
-from posframe.llm import ann, bpe, lm, packing, quality, simhash, substrings, vafile, warc
+from posframe.llm import ann, bpe, lm, packing, quality, simhash, substrings, vafile, warc, wrappers
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
     "op7_warc": warc.op7_warc,
+    "op8_main_text": wrappers.op8_main_text,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
