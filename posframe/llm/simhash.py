@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posframe.llm.bpe import sliced
-from posframe.llm.common import stored, table, texts, words
+from posframe.llm.common import row_key, stored, table, texts, words
 from posframe.llm.components import components
 
 RADIUS = 3
@@ -177,6 +177,20 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     return own.join(named, "__fp")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the one of the least id (null last),
+    of equal ids that of the least key of id and text, of equal rows any one. Texts
+    are shuffled once, to meet the keys that stay."""
+    keyed = docs.withColumn("__key", row_key(doc_id, text))
+    own = stored(fingerprints(keyed, text, (doc_id, "__key"), k))
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("__key").alias("k")))
+    classes = stored(own.groupBy("__fp").agg(first.alias("__first")))
+    roots = components(link(classes.select("__fp"), radius))
+    labelled = classes.join(roots.withColumnRenamed("node", "__fp"), "__fp", "left").select("__first", F.coalesce("root", "__fp").alias("__root"))
+    stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.k").alias("__key"))
+    return keyed.join(stay.distinct(), "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+
+
 def op10_simhash(spark, sf_dir) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
