@@ -1 +1 @@
-"""posframe.functions"""
+"""Column expressions: codecs, features, schedules."""

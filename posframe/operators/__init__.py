@@ -1 +1 @@
-"""posframe.operators"""
+"""Ingest, validation, blocks, access, sampling, metrics and profiles over position tables."""

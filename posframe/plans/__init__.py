@@ -1 +1 @@
-"""posframe.plans"""
+"""The catalog of named queries."""

@@ -1 +1 @@
-"""posframe.sources"""
+"""Position rows and the binary container."""

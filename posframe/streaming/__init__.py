@@ -1 +1 @@
-"""posframe.streaming"""
+"""Ingest as a stream."""

@@ -1,0 +1,79 @@
+import pytest
+from pyspark.sql import functions as F
+
+from posframe.operators import access, ingest, sampling, validate
+from posframe.sources import positions as P
+from posframe.streaming import ingest as stream
+
+
+def test_cascade_is_disjoint(spark, sf_dir):
+    raw = P.events_raw(spark, sf_dir)
+    c = ingest.counters(raw).first()
+    assert c.read == c.kept + c.captures + c.in_check + c.rejected == raw.count()
+    assert ingest.kept(raw).count() == c.kept and ingest.capped(raw, 17).count() == 17
+    bad = raw.withColumn("wdl", F.lit(7))
+    assert ingest.counters(bad, filters=False).first().rejected == raw.count()
+
+
+def test_dense_index(spark):
+    df = spark.range(0, 1000, 3).withColumnRenamed("id", "k").repartition(7)
+    rows = ingest.dense_index(df, "k").orderBy("k").collect()
+    assert [r.idx for r in rows] == list(range(334))
+
+
+def test_gather(spark, sf_dir):
+    pos = P.positions(spark, sf_dir)
+    ask = spark.createDataFrame([(0, 5), (1, 3), (2, 5)], "slot long, idx long")
+    rows = access.gather_matrix(pos, ask).orderBy("slot").collect()
+    one = {r.idx: r.features for r in pos.filter("idx in (3, 5)").collect()}
+    assert [r.idx for r in rows] == [5, 3, 5]
+    assert all(r.features[: r.piece_count] == one[r.idx] and set(r.features[r.piece_count :]) <= {65535} and len(r.features) == 32 for r in rows)
+    with pytest.raises(Exception, match="out of range"):
+        access.gather(pos, spark.createDataFrame([(0, 10**9)], "slot long, idx long")).collect()
+
+
+def test_floyd():
+    own = sampling.floyd(1000, 200, 1)
+    assert own == sorted(set(own)) and len(own) == 200 and own == sampling.floyd(1000, 200, 1) != sampling.floyd(1000, 200, 2)
+    assert sampling.floyd(5, 5, 3) == list(range(5))
+    with pytest.raises(ValueError):
+        sampling.floyd(2, 3, 0)
+
+
+@pytest.mark.parametrize("drop", [True, False])
+def test_batches_partition_the_epoch(spark, sf_dir, drop):
+    pos = P.positions(spark, sf_dir)
+    rows = sampling.epoch_batches(pos, 64, 10, 3, 1, 3, drop_last=drop).collect()
+    seen = [r.idx for r in rows]
+    assert len(seen) == len(set(seen)) and len(seen) > 960 and (drop or len(seen) == 1000)
+    by = {}
+    for r in rows:
+        by.setdefault((r.worker, r.batch_id), []).append(r.pos)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert not drop or all(len(v) == 10 for v in by.values())
+    again = sampling.epoch_batches(pos, 64, 10, 3, 2, 3, drop_last=drop).collect()
+    assert sorted(map(tuple, rows)) != sorted(map(tuple, again))
+
+
+def test_train_and_val_are_apart(spark, sf_dir):
+    pos, val = P.positions(spark, sf_dir), sampling.val_index(spark, 1000, 100, 5)
+    train = sampling.excluded(pos, val)
+    assert train.count() == 900 and train.join(val, "idx").count() == 0
+    assert sampling.index_checks(val, 1000).first().ok
+
+
+def test_no_violations_in_good_rows(spark, sf_dir):
+    assert validate.violations(P.positions(spark, sf_dir), validate.row_rules()).isEmpty()
+    assert validate.violations(P.events_raw(spark, sf_dir), validate.input_rules()).isEmpty()
+
+
+def test_stream_equals_batch(spark, sf_dir, tmp_path):
+    raw = P.events_raw(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("idx")))
+    raw.write.parquet(str(tmp_path / "in"))
+    source = stream.read(spark, str(tmp_path / "in"), raw.schema)
+    stream.write(stream.positions(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.idx for r in got.select("idx").collect()) == sorted(r.idx for r in ingest.kept(raw).select("idx").collect())
+    q = stream.rates(source).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("rates").agg(F.sum("n")).first()[0] == raw.count()
