@@ -16,5 +16,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_vafile": vafile.OP2_SQL,
+    "op5_substring_dedup": substrings.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
 }
