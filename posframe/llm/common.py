@@ -88,6 +88,47 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_POWERS = [np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    if len(_POWERS[0]) < n:
+        steps = np.full(1 << int(n).bit_length(), 0xC6A4A7935BD1E995, dtype=np.uint64)
+        steps[0] = 1
+        _POWERS[0] = np.cumprod(steps)
+    return _POWERS[0]
+
+
+def hashed_words(texts: list[bytes], lower: bool = False, window: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, one text after the other, and each
+    text's number of words; with `lower`, of A-Z in lower case. Bytes are hashed
+    in windows that end at white space, so memory follows the window and the
+    longest word, not the texts."""
+    joined = b" ".join(texts)
+    raw = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    found, counts, begin = [np.zeros(0, dtype=np.uint64)], np.zeros(len(texts), dtype=np.int64), 0
+    while begin < len(raw):
+        end = min(len(raw), begin + window)
+        while end < len(raw) and not len(gap := np.flatnonzero(_SPACE[raw[end : end + 4096]])):
+            end = min(len(raw), end + 4096)
+        end += int(gap[0]) if end < len(raw) else 0
+        part = raw[begin:end]
+        space = _SPACE[part]
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        if len(starts):
+            sizes = np.flatnonzero(~space & np.r_[space[1:], True]) + 1 - starts
+            first = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            values = (part[~space].astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max()) + 1)[at]
+            found.append(mix64(np.add.reduceat(values, first) + sizes.astype(np.uint64) * _MIX))
+            counts += np.bincount(np.searchsorted(offsets, starts + begin, side="right") - 1, minlength=len(texts))
+        begin = end
+    return np.concatenate(found), counts
+
+
 def merged_sum(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their counts."""
     if not len(keys):

@@ -13,7 +13,8 @@ with each level, only raise a count. A slice has `bits` bits an insertion, so
 the filter grows with the distinct n-grams of the corpus. It is broadcast where
 it takes no more than `broadcast_bytes`; beyond that its slices are broadcast in
 groups of that size, each pass reading the n-grams of its group and handing the
-levels on, which changes no score.
+levels on, which changes no score. Levels are stored, a byte for each token and
+length of n-gram, so weights and scores are found without the texts.
 
 Probabilities. P(w | h) = a count(h w) / count(h) + (1 - a) P(w | shorter h),
 down to (count + 1) / (N + V + 1), with all counts from the filter. The weight a
@@ -36,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posframe.llm.bpe import sliced
-from posframe.llm.common import WordHashes, merged_sum, mix64, row_key, stored, table, texts, words
+from posframe.llm.common import hashed_words, merged_sum, mix64, row_key, stored, table, texts
 from posframe.llm.quality import remainder
 
 START, END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
-ORDER, BITS, PROBES = 2, 8, 5
-GRID = np.r_[0.0, 0.001, 0.003, 0.01, 0.03, np.linspace(0.05, 0.95, 19), 0.98, 0.99]
+ORDER, BITS, PROBES = 2, 8, 4
+GRID = np.r_[0.0, 0.002, 0.01, 0.03, 0.06, np.linspace(0.1, 0.9, 9), 0.95, 0.99]
 BUCKETS = 24
 
 
@@ -66,34 +67,44 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _places(keys: np.ndarray, level: int, probes: int):
+def _places(keys: np.ndarray, level: int):
     """Two hashes of (n-gram, level): place i is their sum with i times the second."""
     a = mix64(keys + np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     return a, mix64(a ^ np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
 class Slice:
-    """A Bloom filter of one shard."""
-
-    def __init__(self, size: int, data: np.ndarray | None = None):
-        self.size = max(64, -(-size // 8) * 8)
-        self.data = np.zeros(self.size // 8, dtype=np.uint8) if data is None else data
-
-    def place(self, a, b, i):
-        return ((a + b * np.uint64(i)) >> np.uint64(16)) % np.uint64(self.size)
-
-    def insert(self, keys: np.ndarray, level: int, probes: int) -> None:
-        a, b = _places(keys, level, probes)
-        for i in range(probes):
-            at = self.place(a, b, i)
-            np.bitwise_or.at(self.data, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+    """A Bloom filter of one shard, of less than 2**32 bits."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.size = data, np.uint64(8 * len(data))
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray, bits: int, probes: int) -> Slice:
+        q = levels(counts)
+        size = max(64, -(-int(q.sum()) * bits // 8) * 8)
+        if size >= 1 << 32:
+            raise ValueError("a shard has too many n-grams; raise the number of shards")
+        marked = np.zeros(size, dtype=bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            keys, q = keys[q >= level], q[q >= level]
+            a, b = _places(keys, level)
+            for i in range(probes):
+                marked[cls.place(a, b, i, np.uint64(size))] = True
+        return cls(np.packbits(marked, bitorder="little"))
+
+    @staticmethod
+    def place(a, b, i, size):
+        return ((a + b * np.uint64(i)) >> np.uint64(32)) * size >> np.uint64(32)
 
     def has(self, keys: np.ndarray, level: int, probes: int) -> np.ndarray:
-        a, b = _places(keys, level, probes)
+        a, b = _places(keys, level)
         left = np.arange(len(keys))
         for i in range(probes):
-            at = self.place(a[left], b[left], i)
-            left = left[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            at = self.place(a, b, i, self.size)
+            held = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            if not held.all():
+                a, b, left = a[held], b[held], left[held]
         out = np.zeros(len(keys), dtype=bool)
         out[left] = True
         return out
@@ -109,33 +120,22 @@ class Slice:
         return out
 
 
-def build_slice(keys: np.ndarray, counts: np.ndarray, bits: int, probes: int) -> Slice:
-    q = levels(counts)
-    out = Slice(int(q.sum()) * bits)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        out.insert(keys[q >= level], level, probes)
-    return out
-
-
 class Grams:
     """The tokens of some documents, one after the other, each document with a
     start before and an end behind; key(k) are the hashes of its k-grams."""
 
-    known = WordHashes(300_000)
-
     def __init__(self, docs: list[bytes], order: int):
-        split = [words(t.lower()) for t in docs]
-        self.lens = np.fromiter(map(len, split), dtype=np.int64, count=len(docs)) + 2
+        hashes, counts = hashed_words(docs, lower=True)
+        self.lens = counts + 2
         ends = np.cumsum(self.lens)
         self.starts = ends - self.lens
         n = int(self.lens.sum())
         self.token = np.empty(n, dtype=np.uint64)
-        for s, w in zip(self.starts.tolist(), split, strict=True):
-            self.token[s] = START
-            self.token[s + 1 : s + 1 + len(w)] = self.known.of(w)
-        self.token[ends - 1] = END
-        self.doc = np.repeat(np.arange(len(docs)), self.lens)
-        self.place = np.arange(n) - np.repeat(self.starts, self.lens)
+        inside = np.ones(n, dtype=bool)
+        inside[self.starts] = inside[ends - 1] = False
+        self.token[inside], self.token[self.starts], self.token[ends - 1] = hashes, START, END
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.lens)
+        self.place = places(self.lens)
         # a start is as frequent as an end, and is read as one where it is a history
         self.keys = [np.where(self.place == 0, END, self.token)]
         for _ in range(1, order):
@@ -143,8 +143,17 @@ class Grams:
             self.keys.append(mix64(before * np.uint64(0xD6E8FEB86659FD93) + np.r_[START, self.token[:-1]] * np.uint64(0xA0761D6478BD642F) + self.token))
 
     def whole(self, k: int) -> np.ndarray:
-        """Where a k-gram lies in one document and predicts a token."""
-        return self.place >= max(1, k - 1)
+        return whole(self.place, k)
+
+
+def places(lens: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each document's tokens."""
+    return (np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
+
+
+def whole(place: np.ndarray, k: int) -> np.ndarray:
+    """Where a k-gram lies in one document and predicts a token."""
+    return place >= max(1, k - 1)
 
 
 def _bytes(*arrays):
@@ -157,7 +166,7 @@ def count(docs: DataFrame, order: int, shards: int, bits: int, probes: int, flus
 
     def send(it):
         base, flushes = TaskContext.get().partitionId() << 32, 0
-        grams, keys, learn, held, rows = [], [], [], 0, 0
+        grams, keys, learn, held = [], [], [], 0
 
         def out():
             nonlocal flushes
@@ -229,7 +238,7 @@ def count(docs: DataFrame, order: int, shards: int, bits: int, probes: int, flus
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         keys, counts = np.concatenate([types[c > 0], grams]), np.concatenate([c[c > 0], gc])
-        made = build_slice(keys, counts, bits, probes)
+        made = Slice.of(keys, counts, bits, probes)
         for column, x in zip(out, (None, None, None, None, None, 0, 0, rows[0]["shard"], made.data.tobytes()), strict=True):
             column.append(x)
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -269,12 +278,12 @@ def read_levels(grams: Grams, order: int, slices: dict[int, Slice], shards: int,
     return out
 
 
-def probabilities(grams: Grams, level: list[np.ndarray], n: int, v: int, weights: list[np.ndarray]):
+def probabilities(place: np.ndarray, level: list[np.ndarray], n: int, v: int, weights: list[np.ndarray]):
     """P of each token (starts have 1)."""
     p = (_COUNT[level[0]] + 1) / (n + v + 1)
     for k in range(1, len(level)):
-        p = np.where(grams.whole(k + 1), _mixed(grams, level, k, p, weights[k - 1]), p)
-    return np.where(grams.place > 0, np.minimum(p, 1.0), 1.0)
+        p = np.where(whole(place, k + 1), _mixed(level, k, p, weights[k - 1]), p)
+    return np.where(place > 0, np.minimum(p, 1.0), 1.0)
 
 
 def _history(level: list[np.ndarray], k: int) -> np.ndarray:
@@ -285,21 +294,21 @@ def bucket(history: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(history, 1)).astype(int), BUCKETS - 1)
 
 
-def _mixed(grams, level, k, p, weights):
+def _mixed(level, k, p, weights):
     history = _history(level, k)
     seen = _COUNT[level[k]]
     a = np.where(history > 0, weights[bucket(history)], 0.0)
     return a * np.minimum(1.0, seen / np.maximum(history, 1)) + (1 - a) * p
 
 
-def left_out(grams: Grams, level: list[np.ndarray], k: int, n: int, v: int, weights: list[np.ndarray]) -> np.ndarray:
+def left_out(place: np.ndarray, level: list[np.ndarray], k: int, n: int, v: int, weights: list[np.ndarray]) -> np.ndarray:
     """Log likelihoods (buckets x grid) of the tokens with each left out of its own counts."""
     p = np.maximum(_COUNT[level[0]], 1) / (n + v + 1)
     for j in range(1, k):
         history = _history(level, j)
-        a = np.where(grams.whole(j + 1) & (history > 0), weights[j - 1][bucket(history)], 0.0)
+        a = np.where(whole(place, j + 1) & (history > 0), weights[j - 1][bucket(history)], 0.0)
         p = a * np.minimum(1.0, np.maximum(_COUNT[level[j]] - 1, 0) / np.maximum(history - 1, 1)) + (1 - a) * p
-    at = grams.whole(k + 1)
+    at = whole(place, k + 1)
     history = _history(level, k)[at]
     seen = np.minimum(1.0, np.maximum(_COUNT[level[k]][at] - 1, 0) / np.maximum(history - 1, 1))
     own, p = bucket(history), p[at]
@@ -320,7 +329,7 @@ class Filter:
 
     def slices(self) -> dict[int, Slice]:
         if self.made is None:
-            self.made = {s: Slice(8 * len(x), np.frombuffer(x, np.uint8)) for s, x in self.raw.items()}
+            self.made = {s: Slice(np.frombuffer(x, np.uint8)) for s, x in self.raw.items()}
         return self.made
 
 
@@ -330,7 +339,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=Non
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("__id"), row_key(doc_id, text).alias("__key"), F.coalesce(learn if learn is not None else F.lit(True), F.lit(True)).alias("__learn"), F.col(text).alias("__text"))
     if shards is None:
-        shards = max(8, -(-docs.count() // 16384))
+        shards = max(8, -(-docs.count() // 4096))
     answers, parts = count(source.select("__key", "__learn", "__text"), order, shards, bits, probes, flush)
     n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
 
@@ -343,51 +352,38 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=Non
         groups[-1].append(s)
         total += size
     levelled = source.withColumn("__levels", F.lit(None).cast("array<binary>"))
-    sent = None
-    if len(groups) > 1:
-        for g in groups:
-            own = _send(spark, parts, g)
-            levelled = stored(_levels(levelled, own, order, shards, probes))
-            own.unpersist()
-    else:
-        sent = _send(spark, parts, groups[0])
-
-    def parsed(part):
-        grams = Grams(list(texts(part.column(3))), order)
-        if sent is None:
-            stacks = part.column(4).to_pylist()
-            level = [np.concatenate([np.frombuffer(x[k], np.uint8) for x in stacks]) for k in range(order)]
-        else:
-            level = read_levels(grams, order, sent.value.slices(), shards, probes)
-        return grams, level
-
-    columns = ["__id", "__key", "__learn", "__text", "__levels"]
+    for i, g in enumerate(groups):
+        sent = _send(spark, parts, g)
+        last = i == len(groups) - 1
+        # the texts are read no more after the last group
+        levelled = stored(_levels(levelled, sent, order, shards, probes, last))
+        sent.unpersist()
+
     weights: list[np.ndarray] = []
     for k in range(1, order):
 
         def tune(it, k=k, weights=tuple(weights)):
             sums = np.zeros((BUCKETS, len(GRID)))
             for batch in it:
-                for part in sliced(batch, 256):
-                    grams, level = parsed(part)
-                    sums += left_out(grams, level, k, n, v, weights)
+                for part in sliced(batch):
+                    place, level, _ = _unpacked(part.column(0), order)
+                    sums += left_out(place, level, k, n, v, weights)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(BUCKETS), len(GRID)).astype(np.int32)), pa.array(np.tile(np.arange(len(GRID)), BUCKETS).astype(np.int32)), pa.array(sums.ravel())], names=["bucket", "grid", "ll"])
 
         found = np.zeros((BUCKETS, len(GRID)))
-        tuned = levelled.filter("__learn").select(columns).mapInArrow(tune, "bucket int, grid int, ll double")
+        tuned = levelled.filter("__learn").select("__levels").mapInArrow(tune, "bucket int, grid int, ll double")
         for r in tuned.groupBy("bucket", "grid").agg(F.sum("ll").alias("ll")).collect():
             found[r.bucket, r.grid] = r.ll
         weights.append(GRID[found.argmax(axis=1)])
 
     def run(it):
         for batch in it:
-            for part in sliced(batch, 256):
-                grams, level = parsed(part)
-                logs = np.log10(probabilities(grams, level, n, v, weights))
-                out = np.add.reduceat(logs, grams.starts)
+            for part in sliced(batch):
+                place, level, starts = _unpacked(part.column(2), order)
+                out = np.add.reduceat(np.log10(probabilities(place, level, n, v, weights)), starts)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out)], names=["__id", "__key", "score"])
 
-    scored = levelled.select(columns).mapInArrow(run, f"__id {kind}, __key long, score double")
+    scored = levelled.select("__id", "__key", "__levels").mapInArrow(run, f"__id {kind}, __key long, score double")
     both = scored.join(base_sums(answers), "__key")
     return both.select(
         F.col("__id").alias(doc_id), "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
@@ -395,28 +391,39 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=Non
     )
 
 
+def _unpacked(column: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The places and levels of the tokens of some documents, and each one's first."""
+    stacks = column.to_pylist()
+    lens = np.array([len(x[0]) for x in stacks], dtype=np.int64)
+    level = [np.frombuffer(b"".join(x[k] for x in stacks), np.uint8) for k in range(order)]
+    return places(lens), level, np.cumsum(lens) - lens
+
+
 def _send(spark, parts: DataFrame, group: list[int]):
     """A broadcast of the slices of some shards, of checked size."""
     rows = parts.filter(F.col("shard").isin(group)).toLocalIterator()
     return spark.sparkContext.broadcast(Filter({r.shard: bytes(r.data) for r in rows}))
 
 
-def _levels(docs: DataFrame, filter_, order: int, shards: int, probes: int) -> DataFrame:
-    """docs with what the broadcast slices tell added to __levels."""
-    names = docs.columns
+def _levels(docs: DataFrame, sent, order: int, shards: int, probes: int, last: bool) -> DataFrame:
+    """docs with what the broadcast slices tell added to __levels, a byte for each token
+    and length of n-gram; without the texts, if they are the last slices."""
+    names = [c for c in docs.columns if not (last and c == "__text")]
+    schema = docs.select(names).schema
 
     def run(it):
         for batch in it:
-            for part in sliced(batch, 256):
+            for part in sliced(batch, 1024):
                 grams = Grams(list(texts(part.column(3))), order)
                 before = part.column(4).to_pylist()
-                old = None if before[0] is None else [np.concatenate([np.frombuffer(x[k], np.uint8) for x in before]) for k in range(order)]
-                level = read_levels(grams, order, filter_.value.slices(), shards, probes, old)
-                cuts = [np.split(x, grams.starts[1:]) for x in level]
-                made = [[c[i].tobytes() for c in cuts] for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(4)] + [pa.array(made, pa.list_(pa.binary()))], names=names)
-
-    return docs.mapInArrow(run, docs.schema)
+                old = None if before[0] is None else [np.frombuffer(b"".join(x[k] for x in before), np.uint8) for k in range(order)]
+                level = read_levels(grams, order, sent.value.slices(), shards, probes, old)
+                cuts = list(zip(grams.starts.tolist(), (grams.starts + grams.lens).tolist(), strict=True))
+                made = [[x[i:j].tobytes() for x in level] for i, j in cuts]
+                kept = [part.column(i) for i in range(3 if last else 4)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.list_(pa.binary()))], names=names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def op4_lm_scores(spark, sf_dir) -> DataFrame:

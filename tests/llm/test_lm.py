@@ -49,11 +49,25 @@ def test_edges_and_groups(spark, frame):
     assert lm.score(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 7, 1 << 20])
+def test_hashed_words(window):
+    from posframe.llm.common import hashed_words
+
+    random.seed(window)
+    docs = ["".join(random.choices(["a", "b", "Ab", " ", "\n", "\x0b", "\x1c", "é", "\0"], k=random.randrange(60))).encode() for _ in range(300)] + [b"", b" ", b"x" * 9000 + b" y"]
+    hashes, counts = hashed_words(docs, lower=True, window=window)
+    flat = [w for d in docs for w in d.lower().split()]
+    assert counts.tolist() == [len(d.split()) for d in docs] and len(hashes) == len(flat)
+    of = {}
+    assert all(of.setdefault(w, h) == h for w, h in zip(flat, hashes.tolist(), strict=True)) and len(set(of.values())) == len(of)
+    assert len(hashed_words([])[0]) == 0
+
+
 def test_filter_reads_levels():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**63, 20000).astype(np.uint64))
     counts = np.minimum(rng.geometric(0.3, len(keys)) ** 3, 10**6)
-    made = lm.build_slice(keys, counts, 8, 5)
+    made = lm.Slice.of(keys, counts, 8, 5)
     read, want = made.read(keys, 5), lm.levels(counts)
     assert (read >= want).all() and (read == want).mean() > 0.95
     absent = rng.integers(2**63, 2**64 - 1, 20000, dtype=np.uint64)
@@ -67,12 +81,12 @@ def test_probabilities_sum_to_about_one(order):
     docs = [" ".join(random.choices(["a", "b", "c", "d e"], k=20)).encode() for _ in range(50)]
     grams = lm.Grams(docs, order)
     keys, counts = zip(*((lm.merged_sum(grams.keys[k][grams.whole(k + 1)])) for k in range(order)), strict=True)
-    made = {0: lm.build_slice(np.concatenate(keys), np.concatenate(counts), 32, 8)}
+    made = {0: lm.Slice.of(np.concatenate(keys), np.concatenate(counts), 32, 8)}
     n, v = int((grams.place > 0).sum()), len(keys[0])
     weights = [np.full(lm.BUCKETS, 0.6)] * (order - 1)
     total = 0
     for w in [b"a", b"b", b"c", b"d", b"e", None]:
         g = lm.Grams([b"a b" + (b" " + w if w else b"")], order)
         level = lm.read_levels(g, order, made, 1, 8)
-        total += lm.probabilities(g, level, n, v, weights)[3]
+        total += lm.probabilities(g.place, level, n, v, weights)[3]
     assert 0.85 < total < 1.15
