@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posframe.llm import packing, quality, simhash, substrings
+from posframe.llm import packing, quality, similar, substrings
 from posframe.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,9 +27,9 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the least id, and of equal
-    ids the least text."""
-    return simhash.one_of_each(docs).select(docs.columns)
+    """One document of each group of texts that are linked by a five-word similarity
+    of 0.8 or more, found by SimHash: that of the least id."""
+    return similar.one_of_each(docs).select(docs.columns)
 
 
 def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posframe.llm.bpe import sliced
-from posframe.llm.common import row_key, stored, table, texts, words
+from posframe.llm.common import stored, table, texts, words
 from posframe.llm.components import components
 
 RADIUS = 3
@@ -137,26 +137,46 @@ def _links(keyed: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return keyed.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "__fp").mapInArrow(run, "a long, b long")
 
 
+def _both(column):
+    return F.concat(_variants(column, 0, 32), _variants(column, 32, 32))
+
+
+def hot_keys(fps: DataFrame, bucket: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by and k1 of the variants that more than `bucket` rows of fps (__fp) may share.
+    A variant's rows have one of two values of the segment, so whole segments are
+    counted, two a row: a variant of more rows has a value with over half as many."""
+    low, high = F.col("__fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("__fp", 32)
+    parts = fps.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))).alias("p"))
+    often = parts.groupBy(*by, "p.s", "p.v").count().filter(F.col("count") > bucket // 2)
+    keys = F.when(F.col("s") == 0, _variants(F.col("v"), 0, 32)).otherwise(_variants(F.shiftleft("v", 32), 32, 32))
+    return stored(often.select(*by, F.explode(keys).alias("k1")).distinct())
+
+
+def keyed(fps: DataFrame, hot: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """fps with a row for each of its buckets, numbered by __b: of variants of the
+    segments or, where those are hot, of variants of the halves that they leave open."""
+    first = fps.withColumn("k1", F.explode(_both(F.col("__fp"))))
+    if hot.isEmpty():
+        return first.withColumn("__b", F.xxhash64(*by, "k1")).drop("k1")
+    rest = first.join(hot, [*by, "k1"], "left_anti").withColumn("__b", F.xxhash64(*by, "k1"))
+    dense = first.join(hot, [*by, "k1"], "left_semi")
+    # what the key of a level leaves open is the other half than the one whose number stands above the wildcard's place
+    other = F.when(F.shiftrightunsigned("k1", 38).bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("__fp", 32)).otherwise(F.col("__fp")).bitwiseAND(F.lit(0xFFFFFFFF))
+    dense = dense.withColumn("__o", other).withColumn("k2", F.explode(F.concat(_variants(F.col("__o"), 0, 16), _variants(F.col("__o"), 16, 16))))
+    half = F.when(F.shiftrightunsigned("k2", 38).bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("__o", 16)).otherwise(F.col("__o")).bitwiseAND(F.lit(0xFFFF))
+    dense = dense.withColumn("__h", half).withColumn("k3", F.explode(F.concat(_variants(F.col("__h"), 0, 8), _variants(F.col("__h"), 8, 8))))
+    dense = dense.withColumn("__b", F.xxhash64(*by, "k1", "k2", "k3"))
+    columns = [*fps.columns, "__b"]
+    return rest.select(columns).unionByName(dense.select(columns))
+
+
 def link(fps: DataFrame, radius: int = RADIUS, bucket: int = 4096) -> DataFrame:
     """Distinct edges (a, b) that join fingerprints (column __fp, distinct)
     within the radius (three at most) into the same components as all pairs would."""
     if radius > RADIUS:
         raise ValueError("two segments promise no more than three differing bits")
-    keyed = fps.select("__fp", F.explode(F.concat(_variants(F.col("__fp"), 0, 32), _variants(F.col("__fp"), 32, 32))).alias("k1"))
-    sizes = keyed.groupBy("k1").count()
-    hot = stored(sizes.filter(F.col("count") > bucket).select("k1"))
-    if hot.isEmpty():
-        return _links(keyed, ["k1"], radius).distinct()
-    rest = keyed.join(hot, "k1", "left_anti")
-    dense = keyed.join(hot, "k1", "left_semi")
-    # the segment that k1 does not hold: its number is the other of the one above the wildcard's place
-    other = F.when(F.shiftrightunsigned("k1", 38).bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("__fp", 32)).otherwise(F.col("__fp")).bitwiseAND(F.lit(0xFFFFFFFF))
-    dense = dense.withColumn("__o", other)
-    dense = dense.select("__fp", "k1", "__o", F.explode(F.concat(_variants(F.col("__o"), 0, 16), _variants(F.col("__o"), 16, 16))).alias("k2"))
-    half = F.when(F.shiftrightunsigned("k2", 38).bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned("__o", 16)).otherwise(F.col("__o")).bitwiseAND(F.lit(0xFFFF))
-    dense = dense.withColumn("__h", half)
-    dense = dense.select("__fp", "k1", "k2", F.explode(F.concat(_variants(F.col("__h"), 0, 8), _variants(F.col("__h"), 8, 8))).alias("k3"))
-    return _links(rest, ["k1"], radius).unionByName(_links(dense, ["k1", "k2", "k3"], radius)).distinct()
+    own = fps.select("__fp")
+    return _links(keyed(own, hot_keys(own, bucket)), ["__b"], radius).distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, radius: int = RADIUS, bucket: int = 4096) -> DataFrame:
@@ -177,20 +197,6 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     return own.join(named, "__fp")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the one of the least id (null last),
-    of equal ids that of the least key of id and text, of equal rows any one. Texts
-    are shuffled once, to meet the keys that stay."""
-    keyed = docs.withColumn("__key", row_key(doc_id, text))
-    own = stored(fingerprints(keyed, text, (doc_id, "__key"), k))
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("__key").alias("k")))
-    classes = stored(own.groupBy("__fp").agg(first.alias("__first")))
-    roots = components(link(classes.select("__fp"), radius))
-    labelled = classes.join(roots.withColumnRenamed("node", "__fp"), "__fp", "left").select("__first", F.coalesce("root", "__fp").alias("__root"))
-    stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.k").alias("__key"))
-    return keyed.join(stay.distinct(), "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
-
-
 def op10_simhash(spark, sf_dir) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
