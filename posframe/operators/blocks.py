@@ -1,6 +1,7 @@
 """Block index of the ragged feature lists: totals, anchors, prefixes, offsets.
 
-Only the table of blocks, a row per 1024 positions, is ordered globally.
+Sums run inside a block, then over blocks inside a run of 4096 of them, then over
+the runs: only the table of runs, a row per four million positions, is ordered globally.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ def totals(pos: DataFrame, size: int = S.BLOCK_SIZE) -> DataFrame:
     return _blocked(pos, size).groupBy("block_id").agg(F.count("*").alias("n"), F.sum("piece_count").cast("long").alias("total"))
 
 
-def anchors(pos: DataFrame, size: int = S.BLOCK_SIZE) -> DataFrame:
+def anchors(pos: DataFrame, size: int = S.BLOCK_SIZE, run: int = 4096) -> DataFrame:
     """block_id, anchor: the features before the block."""
-    t = totals(pos, size)
-    return t.select("block_id", (F.sum("total").over(Window.orderBy("block_id")) - F.col("total")).cast("long").alias("anchor"))
+    t = totals(pos, size).withColumn("__run", F.floor(F.col("block_id") / run).cast("long"))
+    runs = t.groupBy("__run").agg(F.sum("total").alias("__all"))
+    base = runs.select("__run", (F.sum("__all").over(Window.orderBy("__run")) - F.col("__all")).alias("__base"))
+    local = F.sum("total").over(Window.partitionBy("__run").orderBy("block_id")) - F.col("total")
+    return t.withColumn("__local", local).join(base, "__run").select("block_id", (F.col("__base") + F.col("__local")).cast("long").alias("anchor"))
 
 
 def local_prefix(pos: DataFrame, size: int = S.BLOCK_SIZE) -> DataFrame:

@@ -41,11 +41,17 @@ def capped(raw: DataFrame, cap: int, filters: bool = True, order: str = "idx") -
 def dense_index(df: DataFrame, order: str, name: str = "idx") -> DataFrame:
     """df with 0, 1, ... in the order of a column of distinct numbers. Rows are range
     partitioned and numbered inside; each partition's base is the sum of the counts
-    before it, a table with a row per partition. No task sees all rows."""
+    before it, a table with a row per partition. No task sees all rows. The ranges
+    are checkpointed, so counts and numbers are of the same ones."""
+    import tempfile
+
     from pyspark.sql import Window
 
-    spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="posframe-"))
+    spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).checkpoint()
     sizes = spread.groupBy("__p").agg(F.count("*").alias("n"))
     base = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("base"))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return spread.withColumn("__l", local).join(F.broadcast(base), "__p").withColumn(name, (F.col("base") + F.col("__l")).cast("long")).drop("__p", "__l", "base")
+    return spread.withColumn("__l", local).join(base, "__p").withColumn(name, (F.col("base") + F.col("__l")).cast("long")).drop("__p", "__l", "base")
