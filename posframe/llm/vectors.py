@@ -1,4 +1,4 @@
-"""What both vector searches share: blocks of vectors, blocks of queries, top lists."""
+"""What both vector searches share: blocks of vectors and of queries, and ranks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posframe.llm.common import mix64
@@ -28,23 +28,6 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def by_dimension(df: DataFrame, vector: str) -> int | None:
-    """The number of components that all vectors share; ValueError if they differ."""
-    low, high = df.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
-    if low != high:
-        raise ValueError(f"vectors have {low} to {high} components")
-    return low
-
-
-def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of each query: greater scores first, then smaller ids."""
-    order = np.lexsort((ids, -scores, query))
-    query, ids, scores = query[order], ids[order], scores[order]
-    start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, int)
-    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
-    return query[rank < k], ids[rank < k], scores[rank < k]
-
-
 def number(column: str, blocks: int):
     """A block for each row, by its hash: blocks of even size, whatever the vectors."""
     return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(blocks)).cast("int")
@@ -54,24 +37,21 @@ def pairs(data: DataFrame, queries: DataFrame, data_blocks: int, query_blocks: i
     """search(data table, query table) of each pair of a block of data and a block of
     queries. data and queries have a column __block; a cell of the grid of blocks has
     one block of each, so no task holds more, and no row meets another by a cross join."""
-    each = lambda df, own, other, n: df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("__block" if own else "__other").alias("__d"), F.col("__other" if own else "__block").alias("__q"), *[c for c in df.columns if c != "__block"])
-    left = each(data, True, False, query_blocks).groupBy("__d", "__q")
-    right = each(queries, False, True, data_blocks).groupBy("__d", "__q")
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        return search(a, b)
+    def dealt(df, other_blocks, names):
+        """Each row once for each block of the other side."""
+        rest = [c for c in df.columns if c != "__block"]
+        return df.select(F.col("__block").alias(names[0]), F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(names[1]), *rest)
 
-    return left.cogroup(right).applyInArrow(run, schema)
+    left = dealt(data, query_blocks, ("__d", "__q")).groupBy("__d", "__q")
+    right = dealt(queries, data_blocks, ("__q", "__d")).groupBy("__d", "__q")
 
+    return left.cogroup(right).applyInArrow(search, schema)
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best of the lists that blocks gave.
-    A query has k rows from each block, so its lists are merged as sorted arrays,
-    by partial aggregates of bounded size."""
-    import pyspark.sql.types as T
-    from pyspark.sql import Window
 
-    assert isinstance(found.schema["score"].dataType, (T.DoubleType, T.LongType))
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best of the lists that blocks gave. A
+    block gives a query k rows, and Spark limits the rows by rank before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
