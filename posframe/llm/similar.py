@@ -33,7 +33,7 @@ from posframe.llm.bpe import sliced
 from posframe.llm.common import hashed_words, mix64, row_key, stored, texts
 from posframe.llm.components import components
 
-PRINTS, HUBS = 4, 8
+PRINTS, HUBS = 3, 8
 
 
 def sets(docs: list[bytes], k: int = 5) -> list[np.ndarray]:
@@ -62,7 +62,7 @@ def bits(features: np.ndarray, seed: int) -> np.uint64:
 
 
 def _prepared(docs: DataFrame, text: str, k: int, prints: int) -> DataFrame:
-    """__key, __n (a null id), __i, __c (the class), __fps, __set (sorted distinct hashes, binary)."""
+    """__key, __n (a null id), __i, __c (the class) and __fps."""
     own = docs.select("__key", "__n", "__i", F.col(text).alias("__text"))
     kind = own.schema["__i"].dataType.simpleString()
 
@@ -72,23 +72,34 @@ def _prepared(docs: DataFrame, text: str, k: int, prints: int) -> DataFrame:
                 made = sets(list(texts(part.column(3))), k)
                 classes = [int(mix64(np.array([np.bitwise_xor.reduce(mix64(s)) + np.uint64(len(s))]))[0].view(np.int64)) if len(s) else 0 for s, _ in made]
                 fps = [[int(bits(w, i + 1).view(np.int64)) for i in range(prints)] for _, w in made]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(classes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([s.tobytes() for s, _ in made], pa.binary())], names=["__key", "__n", "__i", "__c", "__fps", "__set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(classes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["__key", "__n", "__i", "__c", "__fps"])
 
-    return own.mapInArrow(run, f"__key long, __n boolean, __i {kind}, __c long, __fps array<long>, __set binary")
+    return own.mapInArrow(run, f"__key long, __n boolean, __i {kind}, __c long, __fps array<long>")
+
+
+def _sets_of(docs: DataFrame, k: int) -> DataFrame:
+    """__c and __set (sorted distinct hashes, binary) of docs (__c, __text)."""
+
+    def run(it):
+        for batch in it:
+            for part in sliced(batch):
+                made = [s.tobytes() for s, _ in sets(list(texts(part.column(1))), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["__c", "__set"])
+
+    return docs.mapInArrow(run, "__c long, __set binary")
 
 
 def _candidates(keyed: DataFrame, radius: int, hubs: int) -> DataFrame:
-    """Pairs (print, a, b) of fingerprints (print, __b, __fp) that meet, each with the
-    hubs of its bucket; a row (print, __b, null) for each bucket with more pairs than that."""
-    from posframe.llm.vectors import best  # noqa: F401  (same order: by key, then value)
+    """Pairs (a, b) of fingerprints (__b, __fp) that meet, each with the hubs of its
+    bucket; a row (__b, null) for each bucket with more pairs than that."""
 
     def run(it):
         held = None
 
-        def pairs(print_, key, fp):
-            order = np.lexsort((mix64(fp), key, print_))
-            print_, key, fp = print_[order], key[order], fp[order]
-            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (print_[1:] != print_[:-1])])
+        def pairs(key, fp):
+            order = np.lexsort((mix64(fp), key))
+            key, fp = key[order], fp[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             place = np.arange(len(fp)) - np.repeat(start, np.diff(np.r_[start, len(fp)]))
             first = np.arange(len(fp)) - place
             out = []
@@ -98,28 +109,37 @@ def _candidates(keyed: DataFrame, radius: int, hubs: int) -> DataFrame:
                     break
                 hub = first[at] + h
                 near = np.bitwise_count(fp[at] ^ fp[hub]) <= radius
-                out.append(np.stack([print_[at[near]].astype(np.uint64), fp[hub[near]], fp[at[near]]], axis=1))
-            found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.uint64)
-            more = np.flatnonzero(place == hubs + 1)
-            columns = [np.r_[found[:, 0].astype(np.int32), print_[more].astype(np.int32)], np.r_[found[:, 1].copy().view(np.int64), key[more]], np.r_[found[:, 2].copy().view(np.int64), np.zeros(len(more), np.int64)]]
-            unknown = np.arange(len(columns[0])) >= len(found)
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=unknown)], names=["print", "a", "b"])
+                out.append(np.stack([fp[hub[near]], fp[at[near]]], axis=1))
+            found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.uint64)
+            more = key[place == hubs + 1]
+            left = np.r_[found[:, 0].copy().view(np.int64), more]
+            right = np.r_[found[:, 1].copy().view(np.int64), np.zeros(len(more), np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right, mask=np.arange(len(left)) >= len(found))], names=["a", "b"])
 
         for batch in it:
-            own = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
+            own = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
             if held is not None:
                 own = [np.concatenate([a, b]) for a, b in zip(held, own, strict=True)]
             if not len(own[0]):
                 continue
-            last = (own[0] == own[0][-1]) & (own[1] == own[1][-1])
-            cut = int(np.flatnonzero(last)[0])  # the last bucket may go on in the next batch
+            cut = int(np.flatnonzero(own[0] == own[0][-1])[0])  # the last bucket may go on in the next batch
             held = [x[cut:] for x in own]
             if cut:
                 yield pairs(*(x[:cut] for x in own))
         if held is not None:
             yield pairs(*held)
 
-    return keyed.repartition("__b").sortWithinPartitions("__b", "print").select("print", "__b", "__fp").mapInArrow(run, "print int, a long, b long").distinct()
+    return keyed.select("__b", "__fp").repartition("__b").sortWithinPartitions("__b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _crowded(fps: DataFrame, size: int) -> DataFrame:
+    """The fingerprints (__fp) that may be in a bucket of more than `size`: those with
+    a segment that over half as many have, or one bit from such a one."""
+    low, high = F.col("__fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("__fp", 32)
+    parts = fps.select("__fp", F.explode(F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))).alias("p")).select("__fp", "p.s", "p.v")
+    often = parts.groupBy("s", "v").count().filter(F.col("count") > size // 2)
+    near = F.array(F.col("v"), *[F.col("v").bitwiseXOR(F.lit(1 << i)) for i in range(32)])
+    return parts.join(often.select("s", F.explode(near).alias("v")).distinct(), ["s", "v"], "left_semi").select("__fp").distinct()
 
 
 def _across(keyed: DataFrame, radius: int) -> DataFrame:
@@ -141,7 +161,7 @@ def _across(keyed: DataFrame, radius: int) -> DataFrame:
     return keyed.join(several, "__b").groupBy("__b").applyInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets_: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose sets have the similarity."""
 
     def run(it):
@@ -154,7 +174,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    sets_ = classes.select("__c", "__set")
     joined = pairs.join(sets_.select(F.col("__c").alias("a"), F.col("__set").alias("s")), "a").join(sets_.select(F.col("__c").alias("b"), F.col("__set").alias("t")), "b")
     return joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
@@ -165,32 +184,47 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     keyed = docs.withColumn("__key", row_key(doc_id, text))
     own = stored(_prepared(keyed.withColumn("__n", F.col(doc_id).isNull()).withColumn("__i", F.col(doc_id)), text, k, prints))
     least = F.min(F.struct("__n", "__i", "__key")).alias("__first")
-    classes = own.groupBy("__c").agg(least)
-    one = own.dropDuplicates(["__c"]).select("__c", "__fps", "__set")
-    one = stored(one.join(classes, "__c"))
-
-    prints_ = one.select("__c", F.posexplode("__fps").alias("print", "__fp"))
-    of = stored(prints_.groupBy("print", "__fp").agg(F.min("__c").alias("__r")))
-    same = prints_.join(of, ["print", "__fp"]).filter(F.col("__c") != F.col("__r")).select(F.col("__r").alias("a"), F.col("__c").alias("b"))
-    hot = simhash.hot_keys(of, bucket, ("print",))
-    met = stored(_candidates(simhash.keyed(of.select("print", "__fp"), hot, ("print",)), simhash.RADIUS, hubs))
-    named = met.filter("b is not null").join(of.select("print", F.col("__fp").alias("a"), F.col("__r").alias("x")), ["print", "a"]).join(of.select("print", F.col("__fp").alias("b"), F.col("__r").alias("y")), ["print", "b"])
-    pairs = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).filter("a <> b").distinct()
-    links = stored(_verified(stored(pairs), one, similarity))
+    one = stored(own.groupBy("__c").agg(F.first("__fps").alias("__fps"), least))
+
+    # the prints share one pool: values that agree by chance are only candidates
+    prints_ = one.select("__c", F.explode("__fps").alias("__fp"))
+    of = stored(prints_.groupBy("__fp").agg(F.min("__c").alias("__r")))
+    same = prints_.join(of, "__fp").filter(F.col("__c") != F.col("__r")).select(F.col("__r").alias("a"), F.col("__c").alias("b"))
+    hot = simhash.hot_keys(of, bucket)
+    met = stored(_candidates(simhash.keyed(of.select("__fp"), hot), simhash.RADIUS, hubs))
+    named = met.filter("b is not null").join(of.select(F.col("__fp").alias("a"), F.col("__r").alias("x")), "a").join(of.select(F.col("__fp").alias("b"), F.col("__r").alias("y")), "b")
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
+    pairs = stored(ordered(named.select("x", "y").unionByName(same.select(F.col("a").alias("x"), F.col("b").alias("y"))), "x", "y"))
+
+    def linked(pairs):
+        """Verified pairs; only the texts of classes that are in a pair are read."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("__c")).distinct()
+        keys = one.join(wanted, "__c", "left_semi").select("__c", F.col("__first.__key").alias("__key"))
+        some = keyed.select("__key", F.col(text).alias("__text")).join(keys, "__key").dropDuplicates(["__key"]).select("__c", "__text")
+        return stored(_verified(pairs, stored(_sets_of(some, k)), similarity))
 
     def rooted(links):
         roots = components(links).withColumnRenamed("node", "__c")
         return one.select("__c", "__first").join(roots, "__c", "left").select("__c", "__first", F.coalesce("root", "__c").alias("__root"))
 
-    # the pairs beyond the hubs, and those of classes that share a fingerprint but not a component
+    links = linked(pairs)
     labelled = stored(rooted(links))
-    members = stored(prints_.join(labelled.select("__c", "__root"), "__c").groupBy("print", "__fp", "__root").agg(F.min("__c").alias("__r")))
-    apart = members.groupBy("print", "__fp").agg(F.count("*").alias("n")).filter("n > 1")
-    rest = stored(met.filter("b is null").select(F.col("a").alias("__b")).unionByName(simhash.keyed(apart.select("print", "__fp"), hot, ("print",)).select("__b")).distinct())
+    # the pairs beyond the hubs, and those of classes that share a fingerprint but not a component
+    members = stored(prints_.join(labelled.select("__c", "__root"), "__c").groupBy("__fp", "__root").agg(F.min("__c").alias("__r")))
+    apart = members.groupBy("__fp").agg(F.count("*").alias("n")).filter("n > 1").select("__fp")
+    rest = stored(met.filter("b is null").select(F.col("a").alias("__b")).unionByName(simhash.keyed(apart, hot).select("__b")).distinct())
     if not rest.isEmpty():
-        again = simhash.keyed(members, hot, ("print",)).join(rest, "__b", "left_semi")
-        late = stored(_verified(_across(again, simhash.RADIUS), one, similarity))
-        if not late.isEmpty():
+        crowded = _crowded(of.select("__fp"), hubs).unionByName(_near(apart, of)).distinct()
+        again = simhash.keyed(members.join(crowded, "__fp", "left_semi"), hot).join(rest, "__b", "left_semi")
+        late = stored(_across(again, simhash.RADIUS))
+        if not late.isEmpty() and not (late := linked(late)).isEmpty():
             labelled = rooted(links.unionByName(late))
     stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.__key").alias("__key"))
     return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+
+
+def _near(some: DataFrame, all_: DataFrame) -> DataFrame:
+    """The fingerprints of all_ that have a segment within one bit of one of some's."""
+    segment = lambda s: F.struct(F.lit(s).alias("s"), (F.col("__fp").bitwiseAND(F.lit(0xFFFFFFFF)) if s == 0 else F.shiftrightunsigned("__fp", 32)).alias("v"))
+    wanted = some.select(F.explode(F.array(segment(0), segment(1))).alias("p")).select("p.s", F.explode(F.array(F.col("p.v"), *[F.col("p.v").bitwiseXOR(F.lit(1 << i)) for i in range(32)])).alias("v"))
+    return all_.select("__fp", F.explode(F.array(segment(0), segment(1))).alias("p")).select("__fp", "p.s", "p.v").join(wanted.distinct(), ["s", "v"], "left_semi").select("__fp")

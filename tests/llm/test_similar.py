@@ -58,7 +58,7 @@ def test_planted_copies(spark, frame, edits):
             n += 1
     kept = sorted(r.doc_id for r in similar.one_of_each(frame(rows)).collect())
     first = [k for k in range(n) if k % 4 == 0]
-    assert set(first) <= set(kept) and len(kept) - len(first) <= 6
+    assert set(first) <= set(kept) and len(kept) - len(first) <= 18  # a tenth of the copies
 
 
 def test_large_group_and_edges(spark, frame):
