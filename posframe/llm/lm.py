@@ -73,50 +73,49 @@ def _places(keys: np.ndarray, level: int):
     return a, mix64(a ^ np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-class Slice:
-    """A Bloom filter of one shard, of less than 2**32 bits."""
-
-    def __init__(self, data: np.ndarray):
-        self.data, self.size = data, np.uint64(8 * len(data))
-
-    @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray, bits: int, probes: int) -> Slice:
-        q = levels(counts)
-        size = max(64, -(-int(q.sum()) * bits // 8) * 8)
-        if size >= 1 << 32:
-            raise ValueError("a shard has too many n-grams; raise the number of shards")
-        marked = np.zeros(size, dtype=bool)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            keys, q = keys[q >= level], q[q >= level]
-            a, b = _places(keys, level)
-            for i in range(probes):
-                marked[cls.place(a, b, i, np.uint64(size))] = True
-        return cls(np.packbits(marked, bitorder="little"))
-
-    @staticmethod
-    def place(a, b, i, size):
-        return ((a + b * np.uint64(i)) >> np.uint64(32)) * size >> np.uint64(32)
-
-    def has(self, keys: np.ndarray, level: int, probes: int) -> np.ndarray:
+def _place(a, b, i, size):
+    """A bit below size, which is below 2**32."""
+    return ((a + b * np.uint64(i)) >> np.uint64(32)) * size >> np.uint64(32)
+
+
+def build_slice(keys: np.ndarray, counts: np.ndarray, bits: int, probes: int) -> np.ndarray:
+    """The bytes of a shard's slice."""
+    q = levels(counts)
+    size = max(64, -(-int(q.sum()) * bits // 8) * 8)
+    if size >= 1 << 32:
+        raise ValueError("a shard has too many n-grams; raise the number of shards")
+    marked = np.zeros(size, dtype=bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        keys, q = keys[q >= level], q[q >= level]
         a, b = _places(keys, level)
-        left = np.arange(len(keys))
         for i in range(probes):
-            at = self.place(a, b, i, self.size)
-            held = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            if not held.all():
-                a, b, left = a[held], b[held], left[held]
-        out = np.zeros(len(keys), dtype=bool)
-        out[left] = True
-        return out
+            marked[_place(a, b, i, np.uint64(size))] = True
+    return np.packbits(marked, bitorder="little")
+
+
+class Filter:
+    """The slices of some shards, one after the other; a shard that isn't there has size 0."""
+
+    def __init__(self, slices: dict[int, bytes], shards: int):
+        self.sizes = np.array([8 * len(slices.get(s, b"")) for s in range(shards)], dtype=np.uint64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(slices.get(s, b"") for s in range(shards)), dtype=np.uint8)
 
     def read(self, keys: np.ndarray, probes: int) -> np.ndarray:
         """The level of each n-gram, by probes until one fails."""
         out = np.zeros(len(keys), dtype=np.uint8)
-        left, level = np.arange(len(keys)), 1
-        while len(left) and level <= len(_LEAST):
-            left = left[self.has(keys[left], level, probes)]
+        shard = shard_of(keys, len(self.sizes))
+        left = np.flatnonzero(self.sizes[shard])
+        for level in range(1, len(_LEAST) + 1):
+            a, b = _places(keys[left], level)
+            size, base = self.sizes[shard[left]], self.offsets[shard[left]]
+            for i in range(probes):
+                at = base + _place(a, b, i, size)
+                held = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                a, b, size, base, left = a[held], b[held], size[held], base[held], left[held]
+            if not len(left):
+                break
             out[left] = level
-            level += 1
         return out
 
 
@@ -238,8 +237,8 @@ def count(docs: DataFrame, order: int, shards: int, bits: int, probes: int, flus
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         keys, counts = np.concatenate([types[c > 0], grams]), np.concatenate([c[c > 0], gc])
-        made = Slice.of(keys, counts, bits, probes)
-        for column, x in zip(out, (None, None, None, None, None, 0, 0, rows[0]["shard"], made.data.tobytes()), strict=True):
+        made = build_slice(keys, counts, bits, probes)
+        for column, x in zip(out, (None, None, None, None, None, 0, 0, rows[0]["shard"], made.tobytes()), strict=True):
             column.append(x)
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         names = ["batch", "owners", "sums", "known", "total", "tokens", "types", "shard", "data"]
@@ -264,17 +263,13 @@ def base_sums(answers: DataFrame) -> DataFrame:
     return per_row.groupBy("__key").agg(F.first("sums").alias("sums"), F.first("known").alias("known"), F.first("n_tokens").alias("n_tokens"))
 
 
-def read_levels(grams: Grams, order: int, slices: dict[int, Slice], shards: int, probes: int, before: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """The level of each token's k-gram, for k from 1, as far as the slices tell."""
-    out = before or [np.zeros(len(grams.token), dtype=np.uint8) for _ in range(order)]
+def read_levels(grams: Grams, order: int, filter_: Filter, probes: int, before: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """The level of each token's k-gram, for k from 1, as far as the filter tells."""
+    out = []
     for k in range(order):
         keys, back = np.unique(grams.keys[k], return_inverse=True)
-        found = np.zeros(len(keys), dtype=np.uint8)
-        cut = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-        for s, own in slices.items():
-            if cut[s] < cut[s + 1]:
-                found[cut[s] : cut[s + 1]] = own.read(keys[cut[s] : cut[s + 1]], probes)
-        out[k] = np.maximum(out[k], found[back])
+        found = filter_.read(keys, probes)[back]
+        out.append(found if before is None else np.maximum(before[k], found))
     return out
 
 
@@ -315,24 +310,6 @@ def left_out(place: np.ndarray, level: list[np.ndarray], k: int, n: int, v: int,
     return np.stack([np.bincount(own, weights=np.log(g * seen + (1 - g) * p), minlength=BUCKETS) for g in GRID], axis=1)
 
 
-class Filter:
-    """The slices of a filter, as they are broadcast."""
-
-    def __init__(self, slices: dict[int, bytes]):
-        self.raw, self.made = slices, None
-
-    def __getstate__(self):
-        return self.raw
-
-    def __setstate__(self, raw):
-        self.raw, self.made = raw, None
-
-    def slices(self) -> dict[int, Slice]:
-        if self.made is None:
-            self.made = {s: Slice(np.frombuffer(x, np.uint8)) for s, x in self.raw.items()}
-        return self.made
-
-
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=None, order: int = ORDER, bits: int = BITS, probes: int = PROBES, shards: int | None = None, broadcast_bytes: int = 256 << 20, flush: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens (long), base_score, score (double) of
     each row of docs. learn: a boolean column, true for the rows to learn from."""
@@ -353,10 +330,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=Non
         total += size
     levelled = source.withColumn("__levels", F.lit(None).cast("array<binary>"))
     for i, g in enumerate(groups):
-        sent = _send(spark, parts, g)
+        sent = _send(spark, parts, g, shards)
         last = i == len(groups) - 1
         # the texts are read no more after the last group
-        levelled = stored(_levels(levelled, sent, order, shards, probes, last))
+        levelled = stored(_levels(levelled, sent, order, probes, last))
         sent.unpersist()
 
     weights: list[np.ndarray] = []
@@ -399,13 +376,13 @@ def _unpacked(column: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray
     return places(lens), level, np.cumsum(lens) - lens
 
 
-def _send(spark, parts: DataFrame, group: list[int]):
+def _send(spark, parts: DataFrame, group: list[int], shards: int):
     """A broadcast of the slices of some shards, of checked size."""
     rows = parts.filter(F.col("shard").isin(group)).toLocalIterator()
-    return spark.sparkContext.broadcast(Filter({r.shard: bytes(r.data) for r in rows}))
+    return spark.sparkContext.broadcast(Filter({r.shard: bytes(r.data) for r in rows}, shards))
 
 
-def _levels(docs: DataFrame, sent, order: int, shards: int, probes: int, last: bool) -> DataFrame:
+def _levels(docs: DataFrame, sent, order: int, probes: int, last: bool) -> DataFrame:
     """docs with what the broadcast slices tell added to __levels, a byte for each token
     and length of n-gram; without the texts, if they are the last slices."""
     names = [c for c in docs.columns if not (last and c == "__text")]
@@ -417,7 +394,7 @@ def _levels(docs: DataFrame, sent, order: int, shards: int, probes: int, last: b
                 grams = Grams(list(texts(part.column(3))), order)
                 before = part.column(4).to_pylist()
                 old = None if before[0] is None else [np.frombuffer(b"".join(x[k] for x in before), np.uint8) for k in range(order)]
-                level = read_levels(grams, order, sent.value.slices(), shards, probes, old)
+                level = read_levels(grams, order, sent.value, probes, old)
                 cuts = list(zip(grams.starts.tolist(), (grams.starts + grams.lens).tolist(), strict=True))
                 made = [[x[i:j].tobytes() for x in level] for i, j in cuts]
                 kept = [part.column(i) for i in range(3 if last else 4)]

@@ -67,7 +67,7 @@ def test_filter_reads_levels():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**63, 20000).astype(np.uint64))
     counts = np.minimum(rng.geometric(0.3, len(keys)) ** 3, 10**6)
-    made = lm.Slice.of(keys, counts, 8, 5)
+    made = lm.Filter({0: lm.build_slice(keys, counts, 8, 5).tobytes()}, 1)
     read, want = made.read(keys, 5), lm.levels(counts)
     assert (read >= want).all() and (read == want).mean() > 0.95
     absent = rng.integers(2**63, 2**64 - 1, 20000, dtype=np.uint64)
@@ -81,12 +81,12 @@ def test_probabilities_sum_to_about_one(order):
     docs = [" ".join(random.choices(["a", "b", "c", "d e"], k=20)).encode() for _ in range(50)]
     grams = lm.Grams(docs, order)
     keys, counts = zip(*((lm.merged_sum(grams.keys[k][grams.whole(k + 1)])) for k in range(order)), strict=True)
-    made = {0: lm.Slice.of(np.concatenate(keys), np.concatenate(counts), 32, 8)}
+    made = lm.Filter({0: lm.build_slice(np.concatenate(keys), np.concatenate(counts), 32, 8).tobytes()}, 1)
     n, v = int((grams.place > 0).sum()), len(keys[0])
     weights = [np.full(lm.BUCKETS, 0.6)] * (order - 1)
     total = 0
     for w in [b"a", b"b", b"c", b"d", b"e", None]:
         g = lm.Grams([b"a b" + (b" " + w if w else b"")], order)
-        level = lm.read_levels(g, order, made, 1, 8)
+        level = lm.read_levels(g, order, made, 8)
         total += lm.probabilities(g.place, level, n, v, weights)[3]
     assert 0.85 < total < 1.15
