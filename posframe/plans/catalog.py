@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posframe import schema as S
 from posframe.functions import codecs as C
 from posframe.functions import features as X
 from posframe.functions import schedules
