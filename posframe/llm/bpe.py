@@ -70,7 +70,7 @@ class Vocabulary:
 
     _made: dict = {}
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         if path.endswith(".tiktoken"):
@@ -173,6 +173,43 @@ class Vocabulary:
         return (char[starts], char[ends - 1] + 1) if len(ids) else (ends, ends)
 
 
+class Ranked:
+    """The ids of a byte-level vocabulary whose merges are in the order of their
+    ids: merging by least id is then merging by rank, which a faster library does."""
+
+    _made: dict = {}
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            shape = json.load(f)
+        model, pre = shape["model"], shape.get("pre_tokenizer") or {}
+        parts = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in parts]
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not shape.get("normalizer")
+        if not plain or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError("not a byte-level vocabulary in the order of its merges")
+        back = {c: b for b, c in enumerate(byte_chars())}
+        special = {t["content"] for t in shape.get("added_tokens", [])}
+        ranks = {bytes(map(back.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
+        self.encoding = tiktoken.Encoding("own", pat_str=SPACED_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            yield array("I", self.encoding.encode_ordinary(text)).tobytes()
+
+
+def encoder(path: str):
+    """What encodes texts by the vocabulary at path: by ranks if they give the same ids."""
+    if path not in Ranked._made:
+        try:
+            Ranked._made[path] = Ranked(path)
+        except (ValueError, KeyError):
+            Ranked._made[path] = Vocabulary.of(path)
+    return Ranked._made[path]
+
+
 def split_chars(tokens: list[bytes]) -> list[str]:
     """The text of each token so that the texts join to the whole: a character
     that is split between tokens goes to the one that completes it; bytes that

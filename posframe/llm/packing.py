@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posframe.llm.bpe import Vocabulary, sliced
+from posframe.llm.bpe import encoder, sliced
 from posframe.llm.common import table
 
 TIERS = (2048, 1024, 512, 256)
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "do
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it):
-        model = Vocabulary.of(vocabulary)
+        model = encoder(vocabulary)
         base = TaskContext.get().partitionId() << 36
         packer, held, made, groups = Packer(tiers, step_tokens), {}, 0, 0
         docs_seen = tokens = 0

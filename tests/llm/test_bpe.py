@@ -32,6 +32,15 @@ def test_equals_the_rank_library(peer):
         assert model.decode(np.frombuffer(ids, "<u4")) == text.encode()
 
 
+def test_ranks_give_the_ids_of_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one, other = bpe.encoder(path), bpe.Vocabulary.of(path)
+    assert isinstance(one, bpe.Ranked)
+    random.seed(9)
+    docs = ["".join(random.choices([" ", "\n", "é", "日", "er", "Th", "ation", "<|endoftext|>", "12", "!!", "'s"], k=random.randrange(40))) for _ in range(5000)]
+    assert list(one.encode(docs)) == list(other.encode(docs))
+
+
 def test_offsets_and_split_characters():
     model = bpe.Vocabulary.of(RANKS)
     text = "ab 😀é日本"
