@@ -142,9 +142,10 @@ def _crowded(fps: DataFrame, size: int) -> DataFrame:
     return parts.join(often.select("s", F.explode(near).alias("v")).distinct(), ["s", "v"], "left_semi").select("__fp").distinct()
 
 
-def _across(keyed: DataFrame, radius: int) -> DataFrame:
+def _across(keyed: DataFrame, rest: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b) of classes within the radius and not in one component, of the
-    members (__b, __fp, __root, __r) of a bucket. All but the members of the
+    members (__b, __fp, __root, __r) of a bucket of rest (__b). Buckets of one
+    component are found by an aggregate, before rows are joined. All but the members of the
     component that has most are compared with all."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -157,8 +158,8 @@ def _across(keyed: DataFrame, radius: int) -> DataFrame:
         found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
-    several = keyed.groupBy("__b").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__b")
-    return keyed.join(several, "__b").groupBy("__b").applyInArrow(run, "a long, b long").distinct()
+    several = keyed.groupBy("__b").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__b").join(rest, "__b", "left_semi")
+    return keyed.join(several, "__b", "left_semi").groupBy("__b").applyInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets_: DataFrame, similarity: float) -> DataFrame:
@@ -215,8 +216,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     rest = stored(met.filter("b is null").select(F.col("a").alias("__b")).unionByName(simhash.keyed(apart, hot).select("__b")).distinct())
     if not rest.isEmpty():
         crowded = _crowded(of.select("__fp"), hubs).unionByName(_near(apart, of)).distinct()
-        again = simhash.keyed(members.join(crowded, "__fp", "left_semi"), hot).join(rest, "__b", "left_semi")
-        late = stored(_across(again, simhash.RADIUS))
+        again = simhash.keyed(members.join(crowded, "__fp", "left_semi"), hot)
+        late = stored(_across(again, rest, simhash.RADIUS))
         if not late.isEmpty() and not (late := linked(late)).isEmpty():
             labelled = rooted(links.unionByName(late))
     stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.__key").alias("__key"))
