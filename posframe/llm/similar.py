@@ -11,10 +11,20 @@ pairs, and several find nearly all.
 Texts with equal sets are one class. Of the fingerprints that meet under a
 variant, each is first compared with the bucket's `hubs` least by a fixed hash,
 the same in all buckets, so a group of many copies gives a number of candidates
-in proportion to its size. The distributed star method joins the links. Then all
-other pairs of a bucket that are not in one component yet are verified, too: for
-a group of copies that is next to nothing, and no link is lost to the hubs. Hot
-variants are keyed again, so no bucket grows with the corpus (see simhash.py).
+in proportion to its size. The distributed star method joins the links.
+
+What that leaves apart is completed exactly, class by class. In any one order of
+all shingles, the first n - 0.8 n + 1 of a set of n and of each set linked to it
+have one in common, and l more in each give l more in common. So all classes that
+share one of the first n - 0.8 n + 1 + n / 16 and are not in one component yet are
+compared: by size, by a sketch (the parities of the shingles in 512 cells: no more
+of them differ than shingles do; of long sets it says nothing and is left out), by
+how many they must share by their sizes, then by their whole sets.
+No link depends on a fingerprint, a hub or a class that stands for others. The
+order is that of the hashes with the most frequent shingles of a sample last,
+which keeps buckets small; it decides on the work, not on the result. Of a group
+whose copies are linked only through their original, the sketch lets few pairs
+pass but those with the original.
 
 Nulls and edges: a null text is an empty one; texts without words are one class;
 of a text of fewer than five words the whole is the shingle. Null ids count as
@@ -34,6 +44,9 @@ from posframe.llm.common import hashed_words, mix64, row_key, stored, texts
 from posframe.llm.components import components
 
 PRINTS, HUBS = 3, 8
+CELLS = 512
+#: Shingles that come last: those of over FREQUENT texts of a SAMPLE-th of all, the most frequent HOT.
+SAMPLE, FREQUENT, HOT = 16, 16, 500_000
 
 
 def sets(docs: list[bytes], k: int = 5) -> list[np.ndarray]:
@@ -61,8 +74,37 @@ def bits(features: np.ndarray, seed: int) -> np.uint64:
     return np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0]
 
 
+def class_of(own: np.ndarray) -> int:
+    """A text's class: a hash of its set, as a signed long."""
+    return int(mix64(np.array([np.bitwise_xor.reduce(mix64(own)) + np.uint64(len(own))]))[0].view(np.int64)) if len(own) else 0
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """The parities of a set's hashes in CELLS cells; empty for a set so long that they tell nothing."""
+    if len(own) > 3 * CELLS:
+        return b""
+    return np.packbits((np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).tobytes()
+
+
+def prefix_size(n, similarity: float):
+    """How many of a set's n shingles are its prefix: n / 16 more than one must share."""
+    return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1 + n // 16
+
+
+def prefix(own: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted hashes, those in `last` (sorted) after all others, of
+    which every set of the similarity has one among its own."""
+    if not len(own):
+        return own
+    if len(last):
+        at = np.minimum(np.searchsorted(last, own), len(last) - 1)
+        hot = last[at] == own
+        own = np.r_[own[~hot], own[hot]]
+    return own[: int(prefix_size(np.int64(len(own)), similarity))]
+
+
 def _prepared(docs: DataFrame, text: str, k: int, prints: int) -> DataFrame:
-    """__key, __n (a null id), __i, __c (the class) and __fps."""
+    """__key, __n (a null id), __i, __c (the class), __size (of the set), __sketch and __fps."""
     own = docs.select("__key", "__n", "__i", F.col(text).alias("__text"))
     kind = own.schema["__i"].dataType.simpleString()
 
@@ -70,11 +112,126 @@ def _prepared(docs: DataFrame, text: str, k: int, prints: int) -> DataFrame:
         for batch in it:
             for part in sliced(batch):
                 made = sets(list(texts(part.column(3))), k)
-                classes = [int(mix64(np.array([np.bitwise_xor.reduce(mix64(s)) + np.uint64(len(s))]))[0].view(np.int64)) if len(s) else 0 for s, _ in made]
                 fps = [[int(bits(w, i + 1).view(np.int64)) for i in range(prints)] for _, w in made]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(classes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["__key", "__n", "__i", "__c", "__fps"])
+                columns = [pa.array([class_of(s) for s, _ in made], pa.int64()), pa.array([len(s) for s, _ in made], pa.int64()), pa.array([sketch(s) for s, _ in made], pa.binary()), pa.array(fps, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["__key", "__n", "__i", "__c", "__size", "__sketch", "__fps"])
+
+    return own.mapInArrow(run, f"__key long, __n boolean, __i {kind}, __c long, __size long, __sketch binary, __fps array<long>")
+
+
+def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
+    """The sorted hashes of the shingles that come last in the order."""
+
+    def run(it):
+        for batch in it:
+            for part in sliced(batch):
+                made = [s for s, _ in sets(list(texts(part.column(0))), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64))], names=["__h"])
+
+    some = docs.select(F.col(text).alias("__text")).filter(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0)
+    often = some.mapInArrow(run, "__h long").groupBy("__h").count().filter(F.col("count") > FREQUENT)
+    found = often.orderBy(F.desc("count"), "__h").limit(HOT).select("__h").toArrow().column("__h").to_numpy()
+    return np.sort(found.view(np.uint64))
+
 
-    return own.mapInArrow(run, f"__key long, __n boolean, __i {kind}, __c long, __fps array<long>")
+def _shared(docs: DataFrame, text: str, k: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """__h and __c: the classes that have a shingle __h in their prefix, of those that several have."""
+    held_last = docs.sparkSession.sparkContext.broadcast(last)
+
+    def rows(it):
+        for batch in it:
+            for part in sliced(batch):
+                made = [s for s, _ in sets(list(texts(part.column(0))), k)]
+                own = [prefix(s, similarity, held_last.value) for s in made]
+                c = np.repeat(np.array([class_of(s) for s in made], dtype=np.int64), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(c)], names=["__h", "__c"])
+
+    def several(it):
+        for h, c in _buckets(it):
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+            h, c = h[new], c[new]
+            again = np.r_[False, h[1:] == h[:-1]]
+            keep = again | np.r_[again[1:], False]
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c[keep])], names=["__h", "__c"])
+
+    made = docs.select(F.col(text).alias("__text")).mapInArrow(rows, "__h long, __c long")
+    return made.repartition("__h").sortWithinPartitions("__h").mapInArrow(several, "__h long, __c long")
+
+
+def _buckets(it):
+    """The columns of batches sorted by the first as arrays, cut so that no bucket (equal values of the first) is parted."""
+    held = None
+    for batch in it:
+        own = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if held is not None:
+            own = [np.concatenate([a, b]) for a, b in zip(held, own, strict=True)]
+        if not len(own[0]):
+            continue
+        cut = int(np.searchsorted(own[0], own[0][-1]))  # the last bucket may go on in the next batch
+        held = [x[cut:] for x in own]
+        if cut:
+            yield [x[:cut] for x in own]
+    if held is not None:
+        yield held
+
+
+def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes that share a shingle of their prefixes, are not in one
+    component and may have the similarity by their sizes, sketches and the number of
+    shingles that their prefixes share. Buckets of one component are found by an
+    aggregate, before sketches are joined."""
+
+    def near(root, c, size, cells, known, i, j):
+        """Of pairs of places, those that may have the similarity, as classes, and how many shingles their prefixes must share."""
+        x, y = size[i], size[j]
+        ok = (root[i] != root[j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
+        i, j = i[ok], j[ok]
+        differ = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
+        ok = (differ <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-6) | ~(known[i] & known[j])
+        i, j = i[ok], j[ok]
+        both = np.ceil((size[i] + size[j]) * similarity / (1 + similarity) - 1e-6).astype(np.int64)
+        must = both + np.minimum(prefix_size(size[i], similarity) - size[i], prefix_size(size[j], similarity) - size[j])
+        return np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), np.maximum(must, 1)], axis=1)
+
+    def run(it):
+        for h, root, c, size, raw in _buckets(it):
+            known = np.fromiter((len(x) > 0 for x in raw), dtype=bool, count=len(h))
+            cells = np.frombuffer(b"".join(x or bytes(CELLS // 8) for x in raw), np.uint64).reshape(len(h), -1)
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            length = np.diff(np.r_[start, len(h)])
+            out = [np.zeros((0, 3), np.int64)]
+            # small buckets all at once, by the distance of the places
+            small = np.flatnonzero(np.repeat(length <= 64, length))
+            for d in range(1, 64):
+                i = small[small + d < len(h)]
+                i = i[h[i] == h[i + d]]
+                if not len(i):
+                    break
+                for at in range(0, len(i), 1 << 16):
+                    part = i[at : at + (1 << 16)]
+                    out.append(near(root, c, size, cells, known, part, part + d))
+            # of a large one, all but the members of the component that has most are compared with all
+            for s, n in zip(start[length > 64], length[length > 64], strict=True):
+                names, back, sizes = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
+                most = names[np.argmax(sizes)]
+                by_size = s + np.argsort(size[s : s + n], kind="stable")
+                sorted_sizes = size[by_size]
+                for i in s + np.flatnonzero(back != np.argmax(sizes)):
+                    low, high = np.searchsorted(sorted_sizes, [similarity * size[i] - 1e-6, size[i] / similarity + 1e-6])
+                    j = by_size[low : high + 1]
+                    j = j[(root[j] == most) | (j > i)]  # of two outside it once
+                    out.append(near(root, c, size, cells, known, np.full(len(j), i), j))
+            found, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, x].copy()) for x in range(3)), pa.array(times.astype(np.int64))], names=["a", "b", "must", "n"])
+
+    rows = shared.join(labelled.select("__c", "__root"), "__c")
+    several = rows.groupBy("__h").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__h")
+    rows = rows.join(several, "__h", "left_semi").join(one.select("__c", "__size", "__sketch"), "__c")
+    rows = rows.select("__h", "__root", "__c", "__size", "__sketch").repartition("__h").sortWithinPartitions("__h")
+    met = rows.mapInArrow(run, "a long, b long, must long, n long").groupBy("a", "b").agg(F.max("must").alias("must"), F.sum("n").alias("n"))
+    return met.filter("n >= must").select("a", "b")
 
 
 def _sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -90,12 +247,9 @@ def _sets_of(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _candidates(keyed: DataFrame, radius: int, hubs: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints (__b, __fp) that meet, each with the hubs of its
-    bucket; a row (__b, null) for each bucket with more pairs than that."""
+    """Pairs (a, b) of fingerprints (__b, __fp) that meet, each with the hubs of its bucket."""
 
     def run(it):
-        held = None
-
         def pairs(key, fp):
             order = np.lexsort((mix64(fp), key))
             key, fp = key[order], fp[order]
@@ -111,57 +265,14 @@ def _candidates(keyed: DataFrame, radius: int, hubs: int) -> DataFrame:
                 near = np.bitwise_count(fp[at] ^ fp[hub]) <= radius
                 out.append(np.stack([fp[hub[near]], fp[at[near]]], axis=1))
             found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.uint64)
-            more = key[place == hubs + 1]
-            left = np.r_[found[:, 0].copy().view(np.int64), more]
-            right = np.r_[found[:, 1].copy().view(np.int64), np.zeros(len(more), np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right, mask=np.arange(len(left)) >= len(found))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64))], names=["a", "b"])
 
-        for batch in it:
-            own = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-            if held is not None:
-                own = [np.concatenate([a, b]) for a, b in zip(held, own, strict=True)]
-            if not len(own[0]):
-                continue
-            cut = int(np.flatnonzero(own[0] == own[0][-1])[0])  # the last bucket may go on in the next batch
-            held = [x[cut:] for x in own]
-            if cut:
-                yield pairs(*(x[:cut] for x in own))
-        if held is not None:
-            yield pairs(*held)
+        for key, fp in _buckets(it):
+            yield pairs(key, fp.view(np.uint64))
 
     return keyed.select("__b", "__fp").repartition("__b").sortWithinPartitions("__b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _crowded(fps: DataFrame, size: int) -> DataFrame:
-    """The fingerprints (__fp) that may be in a bucket of more than `size`: those with
-    a segment that over half as many have, or one bit from such a one."""
-    low, high = F.col("__fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("__fp", 32)
-    parts = fps.select("__fp", F.explode(F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))).alias("p")).select("__fp", "p.s", "p.v")
-    often = parts.groupBy("s", "v").count().filter(F.col("count") > size // 2)
-    near = F.array(F.col("v"), *[F.col("v").bitwiseXOR(F.lit(1 << i)) for i in range(32)])
-    return parts.join(often.select("s", F.explode(near).alias("v")).distinct(), ["s", "v"], "left_semi").select("__fp").distinct()
-
-
-def _across(keyed: DataFrame, rest: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) of classes within the radius and not in one component, of the
-    members (__b, __fp, __root, __r) of a bucket of rest (__b). Buckets of one
-    component are found by an aggregate, before rows are joined. All but the members of the
-    component that has most are compared with all."""
-
-    def run(t: pa.Table) -> pa.Table:
-        fp, root, c = (t.column(x).to_numpy().view(np.uint64) for x in ("__fp", "__root", "__r"))
-        names, back, sizes = np.unique(root, return_inverse=True, return_counts=True)
-        out = []
-        for i in np.flatnonzero(back != np.argmax(sizes)):
-            near = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= radius) & (root != root[i]))
-            out.append(np.stack([np.minimum(c[near].view(np.int64), c[i].view(np.int64)), np.maximum(c[near].view(np.int64), c[i].view(np.int64))], axis=1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
-
-    several = keyed.groupBy("__b").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__b").join(rest, "__b", "left_semi")
-    return keyed.join(several, "__b", "left_semi").groupBy("__b").applyInArrow(run, "a long, b long").distinct()
-
-
 def _verified(pairs: DataFrame, sets_: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose sets have the similarity."""
 
@@ -185,15 +296,15 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     keyed = docs.withColumn("__key", row_key(doc_id, text))
     own = stored(_prepared(keyed.withColumn("__n", F.col(doc_id).isNull()).withColumn("__i", F.col(doc_id)), text, k, prints))
     least = F.min(F.struct("__n", "__i", "__key")).alias("__first")
-    one = stored(own.groupBy("__c").agg(F.first("__fps").alias("__fps"), least))
+    one = stored(own.groupBy("__c").agg(F.first("__fps").alias("__fps"), F.first("__size").alias("__size"), F.first("__sketch").alias("__sketch"), least))
 
     # the prints share one pool: values that agree by chance are only candidates
     prints_ = one.select("__c", F.explode("__fps").alias("__fp"))
     of = stored(prints_.groupBy("__fp").agg(F.min("__c").alias("__r")))
     same = prints_.join(of, "__fp").filter(F.col("__c") != F.col("__r")).select(F.col("__r").alias("a"), F.col("__c").alias("b"))
     hot = simhash.hot_keys(of, bucket)
-    met = stored(_candidates(simhash.keyed(of.select("__fp"), hot), simhash.RADIUS, hubs))
-    named = met.filter("b is not null").join(of.select(F.col("__fp").alias("a"), F.col("__r").alias("x")), "a").join(of.select(F.col("__fp").alias("b"), F.col("__r").alias("y")), "b")
+    met = _candidates(simhash.keyed(of.select("__fp"), hot), simhash.RADIUS, hubs)
+    named = met.join(of.select(F.col("__fp").alias("a"), F.col("__r").alias("x")), "a").join(of.select(F.col("__fp").alias("b"), F.col("__r").alias("y")), "b")
     ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
     pairs = stored(ordered(named.select("x", "y").unionByName(same.select(F.col("a").alias("x"), F.col("b").alias("y"))), "x", "y"))
 
@@ -210,22 +321,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
 
     links = linked(pairs)
     labelled = stored(rooted(links))
-    # the pairs beyond the hubs, and those of classes that share a fingerprint but not a component
-    members = stored(prints_.join(labelled.select("__c", "__root"), "__c").groupBy("__fp", "__root").agg(F.min("__c").alias("__r")))
-    apart = members.groupBy("__fp").agg(F.count("*").alias("n")).filter("n > 1").select("__fp")
-    rest = stored(met.filter("b is null").select(F.col("a").alias("__b")).unionByName(simhash.keyed(apart, hot).select("__b")).distinct())
-    if not rest.isEmpty():
-        crowded = _crowded(of.select("__fp"), hubs).unionByName(_near(apart, of)).distinct()
-        again = simhash.keyed(members.join(crowded, "__fp", "left_semi"), hot)
-        late = stored(_across(again, rest, simhash.RADIUS))
-        if not late.isEmpty() and not (late := linked(late)).isEmpty():
-            labelled = rooted(links.unionByName(late))
+    # all pairs that no fingerprint, hub or least class of a fingerprint brought together
+    shared = stored(_shared(keyed, text, k, similarity, _frequent(keyed, text, k)))
+    late = stored(_apart(shared, labelled, one, similarity))
+    if not late.isEmpty() and not (late := linked(late)).isEmpty():
+        labelled = rooted(links.unionByName(late))
     stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.__key").alias("__key"))
     return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
-
-def _near(some: DataFrame, all_: DataFrame) -> DataFrame:
-    """The fingerprints of all_ that have a segment within one bit of one of some's."""
-    segment = lambda s: F.struct(F.lit(s).alias("s"), (F.col("__fp").bitwiseAND(F.lit(0xFFFFFFFF)) if s == 0 else F.shiftrightunsigned("__fp", 32)).alias("v"))
-    wanted = some.select(F.explode(F.array(segment(0), segment(1))).alias("p")).select("p.s", F.explode(F.array(F.col("p.v"), *[F.col("p.v").bitwiseXOR(F.lit(1 << i)) for i in range(32)])).alias("v"))
-    return all_.select("__fp", F.explode(F.array(segment(0), segment(1))).alias("p")).select("__fp", "p.s", "p.v").join(wanted.distinct(), ["s", "v"], "left_semi").select("__fp")

@@ -92,6 +92,43 @@ def test_no_link_is_lost_to_the_hubs(spark, frame):
     assert sorted(kept) == sorted(all_pairs) and want <= len(kept) < len(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_group_linked_through_its_original(spark, frame, seed):
+    """Copies of one original that are mostly not similar enough to each other."""
+    random.seed(seed)
+    words = ["w%d" % k for k in range(5000)]
+    own = random.choices(words, k=300)
+    rows = [(50, " ".join(own))]
+    for n in [*range(50), *range(51, 101)]:
+        copy = list(own)
+        for at in random.sample(range(4, 296, 8), random.choice([5, 6])):
+            copy[at] = "edited%d" % random.randrange(10**9)
+        rows.append((n, " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    apart = sum(not close(a, b) for i, a in enumerate(sets) for b in sets[:i])
+    assert all(close(sets[0], s) for s in sets) and apart > 4000
+    assert [r.doc_id for r in similar.one_of_each(frame(rows)).collect()] == [0]
+
+
+def test_frequent_shingles_come_last(spark, frame, monkeypatch):
+    """The order of the shingles doesn't change the groups."""
+    random.seed(7)
+    line = " ".join("common%d" % k for k in range(40))
+    rows = []
+    for g in range(40):
+        own = random.choices(["w%d" % k for k in range(3000)], k=100)
+        for k in range(5):
+            copy = list(own)
+            for at in random.sample(range(100), k):
+                copy[at] = "edited%d" % random.randrange(10**9)
+            rows.append((10 * g + k, line + " " + " ".join(copy)))
+    want = sorted(set(groups(rows).values()))
+    for sample, frequent in [(1, 8), (1, 3), (16, 16)]:
+        monkeypatch.setattr(similar, "SAMPLE", sample)
+        monkeypatch.setattr(similar, "FREQUENT", frequent)
+        assert sorted(r.doc_id for r in similar.one_of_each(frame(rows)).collect()) == want
+
+
 def test_sets():
     for text in ["", "one", "a b c d", "a b c d e", "a b c d e f g a b c d e"]:
         made, words = similar.sets([text.encode()])[0]
