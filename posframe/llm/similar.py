@@ -43,7 +43,7 @@ from posframe.llm.bpe import sliced
 from posframe.llm.common import hashed_words, mix64, row_key, stored, texts
 from posframe.llm.components import components
 
-PRINTS, HUBS = 3, 8
+PRINTS, HUBS = 4, 8
 CELLS = 512
 #: Shingles that come last: those of over FREQUENT texts of a SAMPLE-th of all, the most frequent HOT.
 SAMPLE, FREQUENT, HOT = 16, 16, 500_000
