@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from posframe.llm import similar
@@ -41,6 +42,34 @@ def test_whole_table(spark):
     assert len(kept) - len(want) <= 0.1 * (len(rows) - len(want)) + 1
 
 
+def test_links_between_different_texts(spark):
+    """By bands of similarity: of each linked pair of different texts of a whole table one goes."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    least = {}
+    for r in docs.orderBy("doc_id").collect():
+        own = similar.sets([(r.text or "").encode()])[0][0]
+        least.setdefault(own.tobytes(), (r.doc_id, own))
+    ids, sets = zip(*least.values(), strict=True)
+    size = np.array([len(s) for s in sets])
+    h, c = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.lexsort((c, h))
+    h, c, pairs = h[order], c[order], []
+    for d in range(1, len(h)):
+        at = np.flatnonzero(h[d:] == h[:-d])
+        if not len(at):
+            break
+        pairs.append(c[at] * len(sets) + c[at + d])
+    pairs, both = np.unique(np.concatenate(pairs), return_counts=True)
+    a, b = pairs // len(sets), pairs % len(sets)
+    close_ = both / (size[a] + size[b] - both)
+    kept = {r.doc_id for r in similar.one_of_each(docs).select("doc_id").collect()}
+    for low, high in [(0.8, 0.85), (0.85, 0.9), (0.9, 1.01)]:
+        band = np.flatnonzero((close_ >= low - 1e-9) & (close_ < high - 1e-9))
+        stay = sum(ids[a[i]] in kept and ids[b[i]] in kept for i in band)
+        print(f"similarity {low} to {min(high, 1)}: {len(band)} links, both texts stay of {stay}")
+        assert len(band) and stay == 0
+
+
 @pytest.mark.parametrize("edits", [1, 3])
 def test_planted_copies(spark, frame, edits):
     random.seed(edits)
