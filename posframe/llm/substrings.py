@@ -1,8 +1,8 @@
-"""Repeated word windows removed by relative Lempel-Ziv parsing.
+"""Repeated word windows removed by counting the windows with a repeated anchor.
 
-The reference is the whole input, cut into blocks by the hash of what they
-index, so that every document is parsed against every block without a pass per
-block: what a document sends to a block is exactly what the block can match.
+This replaces a greedy relative Lempel-Ziv parse: no factor with a source and a
+length is formed. The whole input is cut into blocks by the hash of what they
+index, so that every document meets every block without a pass per block: what a document sends to a block is exactly what the block can match.
 
 1. Anchors. Of each window of `window` words, the anchor is the `anchor`-word
    sequence with the least hash in it (leftmost of ties by hash, which are equal
@@ -10,12 +10,9 @@ block: what a document sends to a block is exactly what the block can match.
    once in the corpus occurs once. Each task sends each block its distinct anchors
    with their numbers of occurrences; the blocks' indexes of anchors with two or
    more occurrences are the dictionary's entry points.
-2. Factors. Each document is parsed greedily from left to right: at a position
-   whose anchor is in the dictionary a copy factor is open, and it is extended
-   word by word as long as the windows it enters hold an indexed anchor;
-   elsewhere a literal is passed. Factors shorter than a window are dropped.
-3. Borders. A factor may join pieces of different sources at its inner borders,
-   so the windows of each factor, those over the borders included, are counted
+2. Runs. Of each document, the runs of windows whose anchor is in the dictionary
+   are taken.
+3. Windows. All windows of the runs are counted
    exactly by a 128-bit fingerprint of their words in the block that their hash
    names. Windows found twice or more are duplicate spans; their words go.
 
