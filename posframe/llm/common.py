@@ -17,25 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of this
-    machine only where the setting is absent (local runs and tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if not at:
+    """The folder that the session names in spark.checkpoint.dir. Only where a
+    session of this one machine (tests) names none, it is given one of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="posframe-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+class Scratch:
+    """Tables written to a folder of their own in the shared folder. A stored table
+    cuts the lineage, so a lost executor costs no more than reading files; `kept`
+    stores the last one and deletes all that it was made of."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def stored(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        path = f"{shared_dir(self.spark)}/posframe-{uuid.uuid4().hex}"
+        df.write.option("compression", codec).parquet(path)
+        self.made.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def kept(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        out = self.stored(df, codec)
+        self.clear(but=1)
+        return out
+
+    def clear(self, but: int = 0) -> None:
+        """Deletes what was stored, except the `but` last tables."""
+        jvm, old = self.spark._jvm, self.made[: len(self.made) - but]
+        for path in old:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.made = self.made[len(self.made) - but :]
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet into the shared folder and read again: the lineage
-    is cut, and a lost executor costs no more than reading files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/posframe-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written as Parquet into the shared folder and read again."""
+    return Scratch(df.sparkSession).stored(df, codec)
 
 
 def row_key(*columns: str):
@@ -44,6 +67,11 @@ def row_key(*columns: str):
     return F.xxhash64(*parts)
 
 
+def row_digest(*columns: str):
+    """A 128-bit key of a row (binary), made of the named columns; null is a value of its own."""
+    return F.unhex(F.md5(F.concat_ws("\0", *[x.cast("string") for c in columns for x in (F.col(c).isNull(), F.col(c))])))
+
+
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text of an Arrow column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

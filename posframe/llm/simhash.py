@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posframe.llm.bpe import sliced
-from posframe.llm.common import stored, table, texts, words
+from posframe.llm.common import Scratch, table, texts, words
 from posframe.llm.components import components
 
 RADIUS = 3
@@ -141,7 +141,7 @@ def _both(column):
     return F.concat(_variants(column, 0, 32), _variants(column, 32, 32))
 
 
-def hot_keys(fps: DataFrame, bucket: int, by: tuple[str, ...] = ()) -> DataFrame:
+def hot_keys(fps: DataFrame, bucket: int, by: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """by and k1 of the variants that more than `bucket` rows of fps (__fp) may share.
     A variant's rows have one of two values of the segment, so whole segments are
     counted, two a row: a variant of more rows has a value with over half as many."""
@@ -149,7 +149,7 @@ def hot_keys(fps: DataFrame, bucket: int, by: tuple[str, ...] = ()) -> DataFrame
     parts = fps.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))).alias("p"))
     often = parts.groupBy(*by, "p.s", "p.v").count().filter(F.col("count") > bucket // 2)
     keys = F.when(F.col("s") == 0, _variants(F.col("v"), 0, 32)).otherwise(_variants(F.shiftleft("v", 32), 32, 32))
-    return stored(often.select(*by, F.explode(keys).alias("k1")).distinct())
+    return (scratch or Scratch(fps.sparkSession)).stored(often.select(*by, F.explode(keys).alias("k1")).distinct())
 
 
 def keyed(fps: DataFrame, hot: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -170,13 +170,13 @@ def keyed(fps: DataFrame, hot: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
     return rest.select(columns).unionByName(dense.select(columns))
 
 
-def link(fps: DataFrame, radius: int = RADIUS, bucket: int = 4096) -> DataFrame:
+def link(fps: DataFrame, radius: int = RADIUS, bucket: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """Distinct edges (a, b) that join fingerprints (column __fp, distinct)
     within the radius (three at most) into the same components as all pairs would."""
     if radius > RADIUS:
         raise ValueError("two segments promise no more than three differing bits")
     own = fps.select("__fp")
-    return _links(keyed(own, hot_keys(own, bucket)), ["__b"], radius).distinct()
+    return _links(keyed(own, hot_keys(own, bucket, scratch=scratch)), ["__b"], radius).distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, radius: int = RADIUS, bucket: int = 4096) -> DataFrame:
@@ -188,13 +188,14 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     null only where no member has one. Repeated rows stay, each with its row. An
     empty table gives no rows. Other columns are not read.
     """
-    own = stored(fingerprints(docs, text, (doc_id,), k))
-    classes = stored(own.groupBy("__fp").agg(F.min(doc_id).alias("__least")))
-    roots = components(link(classes.select("__fp"), radius, bucket))
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.stored(fingerprints(docs, text, (doc_id,), k))
+    classes = scratch.stored(own.groupBy("__fp").agg(F.min(doc_id).alias("__least")))
+    roots = components(link(classes.select("__fp"), radius, bucket, scratch), scratch=scratch)
     labelled = classes.join(roots.withColumnRenamed("node", "__fp"), "__fp", "left").select("__fp", "__least", F.coalesce("root", "__fp").alias("__root"))
     least = labelled.groupBy("__root").agg(F.min("__least").alias("component_id"))
     named = labelled.join(least, "__root").select("__fp", "component_id")
-    return own.join(named, "__fp")
+    return scratch.kept(own.join(named, "__fp"))
 
 
 def op10_simhash(spark, sf_dir) -> DataFrame:

@@ -1,34 +1,32 @@
 """Near-duplicate groups by five-word similarity, found through SimHash.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more. Candidates come from `prints` SimHash fingerprints of
-a text's distinct words, each with its own seed: texts within three differing
-bits in one of them meet under its deletion variants (see simhash.py) and are
-verified on their whole sets of shingles. At a similarity of 0.8 about 5 % of the
-bits of a fingerprint differ, so each print finds a third to two thirds of the
-pairs, and several find nearly all.
-
-Texts with equal sets are one class. Of the fingerprints that meet under a
-variant, each is first compared with the bucket's `hubs` least by a fixed hash,
-the same in all buckets, so a group of many copies gives a number of candidates
-in proportion to its size. The distributed star method joins the links.
-
-What that leaves apart is completed exactly, class by class. In any one order of
-all shingles, the first n - 0.8 n + 1 of a set of n and of each set linked to it
-have one in common, and l more in each give l more in common. So all classes that
-share one of the first n - 0.8 n + 1 + n / 16 and are not in one component yet are
-compared: by size, by a sketch (the parities of the shingles in 512 cells: no more
-of them differ than shingles do; of long sets it says nothing and is left out), by
-how many they must share by their sizes, then by their whole sets.
-No link depends on a fingerprint, a hub or a class that stands for others. The
-order is that of the hashes with the most frequent shingles of a sample last,
-which keeps buckets small; it decides on the work, not on the result. Of a group
-whose copies are linked only through their original, the sketch lets few pairs
-pass but those with the original.
+shingles is 0.8 or more. Texts with equal sets are one class. The first candidates
+come from `prints` SimHash fingerprints of a text's distinct words, each with its
+own seed: texts within three differing bits in one of them meet under its deletion
+variants (see simhash.py). Of the fingerprints that meet under a variant, each is
+compared with the bucket's `hubs` least by a fixed hash, the same in all buckets, so
+a group of many copies gives a number of candidates in proportion to its size. All
+candidates are verified on their whole sets, and the star method joins the links.
+
+What that leaves apart is completed exactly, class by class, so that no link
+depends on a fingerprint, a hub or a class that stands for others. In any one order
+of all shingles, the first n - 0.8 n + 1 of a set of n and of each set linked to it
+have one in common. So the classes that share one of these are compared, if they are
+not in one component yet: by size and by a sketch (the parities of the shingles in
+512 cells: no more of them differ than shingles do; of long sets it says nothing),
+and what passes is verified. In a large bucket a class is paired with its `width`
+nearest by the sketch; classes with more are marked, and while there are such, the
+round is repeated, with eight times the width, over what is still apart. So pairs
+within a linked group are never listed, and no pair is left out at the end.
+
+The order is that of the hashes with the most frequent shingles of a sample last,
+which keeps buckets small; it decides on the work, not on the result.
 
 Nulls and edges: a null text is an empty one; texts without words are one class;
 of a text of fewer than five words the whole is the shingle. Null ids count as
 greater than others. Repeated rows are one class. An empty table has no groups.
+Extra columns stay as they are. Classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,11 +38,11 @@ from pyspark.sql import functions as F
 
 from posframe.llm import simhash
 from posframe.llm.bpe import sliced
-from posframe.llm.common import hashed_words, mix64, row_key, stored, texts
+from posframe.llm.common import Scratch, hashed_words, mix64, row_digest, texts
 from posframe.llm.components import components
 
-PRINTS, HUBS = 4, 8
-CELLS = 512
+PRINTS, HUBS = 2, 4
+CELLS, WIDTH = 512, 8
 #: Shingles that come last: those of over FREQUENT texts of a SAMPLE-th of all, the most frequent HOT.
 SAMPLE, FREQUENT, HOT = 16, 16, 500_000
 
@@ -86,37 +84,37 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).tobytes()
 
 
-def prefix_size(n, similarity: float):
-    """How many of a set's n shingles are its prefix: n / 16 more than one must share."""
-    return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1 + n // 16
-
-
 def prefix(own: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
     """The first of a set's sorted hashes, those in `last` (sorted) after all others, of
     which every set of the similarity has one among its own."""
     if not len(own):
         return own
+    size = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
     if len(last):
         at = np.minimum(np.searchsorted(last, own), len(last) - 1)
         hot = last[at] == own
         own = np.r_[own[~hot], own[hot]]
-    return own[: int(prefix_size(np.int64(len(own)), similarity))]
+    return own[:size]
 
 
-def _prepared(docs: DataFrame, text: str, k: int, prints: int) -> DataFrame:
-    """__key, __n (a null id), __i, __c (the class), __size (of the set), __sketch and __fps."""
+def _prepared(docs: DataFrame, text: str, k: int, prints: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """__key, __n (a null id), __i, __c (the class), __size (of the set), __sketch, __prefix and __fps."""
     own = docs.select("__key", "__n", "__i", F.col(text).alias("__text"))
     kind = own.schema["__i"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(it):
         for batch in it:
             for part in sliced(batch):
                 made = sets(list(texts(part.column(3))), k)
-                fps = [[int(bits(w, i + 1).view(np.int64)) for i in range(prints)] for _, w in made]
-                columns = [pa.array([class_of(s) for s, _ in made], pa.int64()), pa.array([len(s) for s, _ in made], pa.int64()), pa.array([sketch(s) for s, _ in made], pa.binary()), pa.array(fps, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["__key", "__n", "__i", "__c", "__size", "__sketch", "__fps"])
+                columns = [
+                    pa.array([class_of(s) for s, _ in made], pa.int64()), pa.array([len(s) for s, _ in made], pa.int64()), pa.array([sketch(s) for s, _ in made], pa.binary()),
+                    pa.array([prefix(s, similarity, sent.value).tobytes() for s, _ in made], pa.binary()),
+                    pa.array([[int(bits(w, i + 1).view(np.int64)) for i in range(prints)] for _, w in made], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["__key", "__n", "__i", "__c", "__size", "__sketch", "__prefix", "__fps"])
 
-    return own.mapInArrow(run, f"__key long, __n boolean, __i {kind}, __c long, __size long, __sketch binary, __fps array<long>")
+    return own.mapInArrow(run, f"__key binary, __n boolean, __i {kind}, __c long, __size long, __sketch binary, __prefix binary, __fps array<long>")
 
 
 def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -134,29 +132,23 @@ def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def _shared(docs: DataFrame, text: str, k: int, similarity: float, last: np.ndarray) -> DataFrame:
+def _shared(one: DataFrame) -> DataFrame:
     """__h and __c: the classes that have a shingle __h in their prefix, of those that several have."""
-    held_last = docs.sparkSession.sparkContext.broadcast(last)
 
     def rows(it):
         for batch in it:
-            for part in sliced(batch):
-                made = [s for s, _ in sets(list(texts(part.column(0))), k)]
-                own = [prefix(s, similarity, held_last.value) for s in made]
-                c = np.repeat(np.array([class_of(s) for s in made], dtype=np.int64), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(c)], names=["__h", "__c"])
+            for part in sliced(batch, 4096):
+                own = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
+                c = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(c)], names=["__h", "__c"])
 
     def several(it):
         for h, c in _buckets(it):
-            order = np.lexsort((c, h))
-            h, c = h[order], c[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-            h, c = h[new], c[new]
             again = np.r_[False, h[1:] == h[:-1]]
             keep = again | np.r_[again[1:], False]
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c[keep])], names=["__h", "__c"])
 
-    made = docs.select(F.col(text).alias("__text")).mapInArrow(rows, "__h long, __c long")
+    made = one.select("__c", "__prefix").mapInArrow(rows, "__h long, __c long")
     return made.repartition("__h").sortWithinPartitions("__h").mapInArrow(several, "__h long, __c long")
 
 
@@ -177,23 +169,20 @@ def _buckets(it):
         yield held
 
 
-def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
+def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: float, width: int) -> DataFrame:
     """Pairs (a, b) of classes that share a shingle of their prefixes, are not in one
-    component and may have the similarity by their sizes, sketches and the number of
-    shingles that their prefixes share. Buckets of one component are found by an
-    aggregate, before sketches are joined."""
+    component and may have the similarity by their sizes and sketches; (a, a) where a
+    class has more such partners in a bucket than `width`, the nearest by the sketch.
+    Buckets of one component are found by an aggregate, before sketches are joined."""
 
-    def near(root, c, size, cells, known, i, j):
-        """Of pairs of places, those that may have the similarity, as classes, and how many shingles their prefixes must share."""
+    def near(root, size, cells, known, i, j):
+        """Of pairs of places, those that may have the similarity, and how many cells differ."""
         x, y = size[i], size[j]
         ok = (root[i] != root[j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
         i, j = i[ok], j[ok]
         differ = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
         ok = (differ <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-6) | ~(known[i] & known[j])
-        i, j = i[ok], j[ok]
-        both = np.ceil((size[i] + size[j]) * similarity / (1 + similarity) - 1e-6).astype(np.int64)
-        must = both + np.minimum(prefix_size(size[i], similarity) - size[i], prefix_size(size[j], similarity) - size[j])
-        return np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), np.maximum(must, 1)], axis=1)
+        return i[ok], j[ok], differ[ok]
 
     def run(it):
         for h, root, c, size, raw in _buckets(it):
@@ -201,37 +190,43 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
             cells = np.frombuffer(b"".join(x or bytes(CELLS // 8) for x in raw), np.uint64).reshape(len(h), -1)
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             length = np.diff(np.r_[start, len(h)])
-            out = [np.zeros((0, 3), np.int64)]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def found(i, j):
+                left.append(c[i])  # noqa: B023
+                right.append(c[j])  # noqa: B023
+
             # small buckets all at once, by the distance of the places
-            small = np.flatnonzero(np.repeat(length <= 64, length))
-            for d in range(1, 64):
+            small = np.flatnonzero(np.repeat(length <= 2 * width, length))
+            for d in range(1, 2 * width):
                 i = small[small + d < len(h)]
                 i = i[h[i] == h[i + d]]
                 if not len(i):
                     break
                 for at in range(0, len(i), 1 << 16):
                     part = i[at : at + (1 << 16)]
-                    out.append(near(root, c, size, cells, known, part, part + d))
+                    found(*near(root, size, cells, known, part, part + d)[:2])
             # of a large one, all but the members of the component that has most are compared with all
-            for s, n in zip(start[length > 64], length[length > 64], strict=True):
-                names, back, sizes = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
-                most = names[np.argmax(sizes)]
+            for s, n in zip(start[length > 2 * width], length[length > 2 * width], strict=True):
+                back, sizes = np.unique(root[s : s + n], return_inverse=True, return_counts=True)[1:]
                 by_size = s + np.argsort(size[s : s + n], kind="stable")
                 sorted_sizes = size[by_size]
                 for i in s + np.flatnonzero(back != np.argmax(sizes)):
                     low, high = np.searchsorted(sorted_sizes, [similarity * size[i] - 1e-6, size[i] / similarity + 1e-6])
-                    j = by_size[low : high + 1]
-                    j = j[(root[j] == most) | (j > i)]  # of two outside it once
-                    out.append(near(root, c, size, cells, known, np.full(len(j), i), j))
-            found, times = np.unique(np.concatenate(out), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, x].copy()) for x in range(3)), pa.array(times.astype(np.int64))], names=["a", "b", "must", "n"])
+                    others = by_size[low : high + 1]
+                    _, j, differ = near(root, size, cells, known, np.full(len(others), i), others)
+                    if len(j) > width:
+                        j = np.r_[i, j[np.lexsort((c[j], differ))[:width]]]
+                    found(np.full(len(j), i), j)
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, x].copy()) for x in (0, 1)], names=["a", "b"])
 
     rows = shared.join(labelled.select("__c", "__root"), "__c")
     several = rows.groupBy("__h").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__h")
     rows = rows.join(several, "__h", "left_semi").join(one.select("__c", "__size", "__sketch"), "__c")
     rows = rows.select("__h", "__root", "__c", "__size", "__sketch").repartition("__h").sortWithinPartitions("__h")
-    met = rows.mapInArrow(run, "a long, b long, must long, n long").groupBy("a", "b").agg(F.max("must").alias("must"), F.sum("n").alias("n"))
-    return met.filter("n >= must").select("a", "b")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -290,42 +285,47 @@ def _verified(pairs: DataFrame, sets_: DataFrame, similarity: float) -> DataFram
     return joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, similarity: float = 0.8, prints: int = PRINTS, hubs: int = HUBS, bucket: int = 4096) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, similarity: float = 0.8, prints: int = PRINTS, hubs: int = HUBS, bucket: int = 4096, width: int = WIDTH) -> DataFrame:
     """docs with one row of each group of linked texts: the one of the least id (null
-    last), of equal ids that of the least key of id and text, of equal rows any one."""
-    keyed = docs.withColumn("__key", row_key(doc_id, text))
-    own = stored(_prepared(keyed.withColumn("__n", F.col(doc_id).isNull()).withColumn("__i", F.col(doc_id)), text, k, prints))
+    last), of equal ids that of the least digest of id and text, of equal rows any one."""
+    scratch = Scratch(docs.sparkSession)
+    keyed = docs.withColumn("__key", row_digest(doc_id, text))
+    source = keyed.withColumn("__n", F.col(doc_id).isNull()).withColumn("__i", F.col(doc_id))
+    own = scratch.stored(_prepared(source, text, k, prints, similarity, _frequent(docs, text, k)))
     least = F.min(F.struct("__n", "__i", "__key")).alias("__first")
-    one = stored(own.groupBy("__c").agg(F.first("__fps").alias("__fps"), F.first("__size").alias("__size"), F.first("__sketch").alias("__sketch"), least))
+    one = scratch.stored(own.groupBy("__c").agg(*[F.first(x).alias(x) for x in ("__fps", "__size", "__sketch", "__prefix")], least))
 
     # the prints share one pool: values that agree by chance are only candidates
     prints_ = one.select("__c", F.explode("__fps").alias("__fp"))
-    of = stored(prints_.groupBy("__fp").agg(F.min("__c").alias("__r")))
-    same = prints_.join(of, "__fp").filter(F.col("__c") != F.col("__r")).select(F.col("__r").alias("a"), F.col("__c").alias("b"))
-    hot = simhash.hot_keys(of, bucket)
-    met = _candidates(simhash.keyed(of.select("__fp"), hot), simhash.RADIUS, hubs)
+    of = scratch.stored(prints_.groupBy("__fp").agg(F.min("__c").alias("__r")))
+    same = prints_.join(of, "__fp").filter(F.col("__c") != F.col("__r")).select(F.col("__r").alias("x"), F.col("__c").alias("y"))
+    met = _candidates(simhash.keyed(of.select("__fp"), simhash.hot_keys(of, bucket, scratch=scratch)), simhash.RADIUS, hubs)
     named = met.join(of.select(F.col("__fp").alias("a"), F.col("__r").alias("x")), "a").join(of.select(F.col("__fp").alias("b"), F.col("__r").alias("y")), "b")
-    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
-    pairs = stored(ordered(named.select("x", "y").unionByName(same.select(F.col("a").alias("x"), F.col("b").alias("y"))), "x", "y"))
+    pairs = named.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
 
     def linked(pairs):
         """Verified pairs; only the texts of classes that are in a pair are read."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("__c")).distinct()
         keys = one.join(wanted, "__c", "left_semi").select("__c", F.col("__first.__key").alias("__key"))
         some = keyed.select("__key", F.col(text).alias("__text")).join(keys, "__key").dropDuplicates(["__key"]).select("__c", "__text")
-        return stored(_verified(pairs, stored(_sets_of(some, k)), similarity))
+        return scratch.stored(_verified(pairs, scratch.stored(_sets_of(some, k)), similarity))
 
     def rooted(links):
-        roots = components(links).withColumnRenamed("node", "__c")
-        return one.select("__c", "__first").join(roots, "__c", "left").select("__c", "__first", F.coalesce("root", "__c").alias("__root"))
+        roots = components(links, scratch=scratch).withColumnRenamed("node", "__c")
+        return scratch.stored(one.select("__c", "__first").join(roots, "__c", "left").select("__c", "__first", F.coalesce("root", "__c").alias("__root")))
 
-    links = linked(pairs)
-    labelled = stored(rooted(links))
+    links = linked(scratch.stored(pairs))
+    labelled = rooted(links)
     # all pairs that no fingerprint, hub or least class of a fingerprint brought together
-    shared = stored(_shared(keyed, text, k, similarity, _frequent(keyed, text, k)))
-    late = stored(_apart(shared, labelled, one, similarity))
-    if not late.isEmpty() and not (late := linked(late)).isEmpty():
-        labelled = rooted(links.unionByName(late))
+    shared = scratch.stored(_shared(one))
+    more = True
+    while more and not (late := scratch.stored(_apart(shared, labelled, one, similarity, width))).isEmpty():
+        more = not late.filter("a = b").isEmpty()
+        late = linked(late.filter("a <> b"))
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            labelled = rooted(links)
+        width *= 8
     stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.__key").alias("__key"))
+    stay = scratch.kept(stay)
     return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
-

@@ -36,10 +36,7 @@ def test_whole_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = [r.doc_id for r in similar.one_of_each(docs).collect()]
-    want = set(groups(rows).values())
-    assert len(kept) == len(set(kept)) and want <= set(kept)
-    # what is left too much are links that no fingerprint found
-    assert len(kept) - len(want) <= 0.1 * (len(rows) - len(want)) + 1
+    assert sorted(kept) == sorted(set(groups(rows).values()))
 
 
 def test_links_between_different_texts(spark):
@@ -87,7 +84,7 @@ def test_planted_copies(spark, frame, edits):
             n += 1
     kept = sorted(r.doc_id for r in similar.one_of_each(frame(rows)).collect())
     first = [k for k in range(n) if k % 4 == 0]
-    assert set(first) <= set(kept) and len(kept) - len(first) <= 6
+    assert kept == first
 
 
 def test_large_group_and_edges(spark, frame):
@@ -121,8 +118,8 @@ def test_no_link_is_lost_to_the_hubs(spark, frame):
     assert sorted(kept) == sorted(all_pairs) and want <= len(kept) < len(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_group_linked_through_its_original(spark, frame, seed):
+@pytest.mark.parametrize("seed,width", [(1, 8), (2, 1)])
+def test_group_linked_through_its_original(spark, frame, seed, width):
     """Copies of one original that are mostly not similar enough to each other."""
     random.seed(seed)
     words = ["w%d" % k for k in range(5000)]
@@ -136,7 +133,7 @@ def test_group_linked_through_its_original(spark, frame, seed):
     sets = [shingles(t) for _, t in rows]
     apart = sum(not close(a, b) for i, a in enumerate(sets) for b in sets[:i])
     assert all(close(sets[0], s) for s in sets) and apart > 4000
-    assert [r.doc_id for r in similar.one_of_each(frame(rows)).collect()] == [0]
+    assert [r.doc_id for r in similar.one_of_each(frame(rows), width=width).collect()] == [0]
 
 
 def test_frequent_shingles_come_last(spark, frame, monkeypatch):
