@@ -14,11 +14,14 @@ depends on a fingerprint, a hub or a class that stands for others. In any one or
 of all shingles, the first n - 0.8 n + 1 of a set of n and of each set linked to it
 have one in common. So the classes that share one of these are compared, if they are
 not in one component yet: by size and by a sketch (the parities of the shingles in
-512 cells: no more of them differ than shingles do; of long sets it says nothing),
-and what passes is verified. In a large bucket a class is paired with its `width`
-nearest by the sketch; classes with more are marked, and while there are such, the
-round is repeated, with eight times the width, over what is still apart. So pairs
-within a linked group are never listed, and no pair is left out at the end.
+512 cells: no more of them differ than shingles do; of long sets it says nothing).
+In a large bucket a class is paired with its `width` nearest by the sketch; classes
+with more are marked, and while there are such, the round is repeated for them, with
+eight times the width, over what is still apart. So pairs within a linked group are
+never listed, and no pair is left out at the end.
+
+Each pair, of prints or of buckets, is then held against a wider sketch (two to four
+cells a shingle) before whole sets are read, for sets are the bulk of the work.
 
 The order is that of the hashes with the most frequent shingles of a sample last,
 which keeps buckets small; it decides on the work, not on the result.
@@ -77,11 +80,28 @@ def class_of(own: np.ndarray) -> int:
     return int(mix64(np.array([np.bitwise_xor.reduce(mix64(own)) + np.uint64(len(own))]))[0].view(np.int64)) if len(own) else 0
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """The parities of a set's hashes in CELLS cells; empty for a set so long that they tell nothing."""
-    if len(own) > 3 * CELLS:
-        return b""
-    return np.packbits((np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).tobytes()
+def sketch(own: np.ndarray, cells: int) -> bytes:
+    """The parities of a set's hashes in a number of cells, a power of two."""
+    return np.packbits((np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def wide(own: np.ndarray) -> bytes:
+    return sketch(own, max(CELLS, 1 << (2 * len(own)).bit_length()))
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """How many cells of two sketches differ, the longer one folded to the shorter."""
+    parts = []
+    for z in (x, y):
+        z = np.frombuffer(z, np.uint8)
+        # cell i of a folded sketch is the sum of those that are i by the lower bits
+        parts.append(np.bitwise_xor.reduce(z.reshape(-1, min(len(x), len(y))), axis=0))
+    return int(np.bitwise_count(parts[0] ^ parts[1]).sum(dtype=np.int64))
+
+
+def most_differing(n, similarity: float):
+    """How many shingles two sets of n in all may differ by at the similarity."""
+    return n * (1 - similarity) / (1 + similarity) + 1e-6
 
 
 def prefix(own: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
@@ -98,7 +118,7 @@ def prefix(own: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame, text: str, k: int, prints: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """__key, __n (a null id), __i, __c (the class), __size (of the set), __sketch, __prefix and __fps."""
+    """__key, __n (a null id), __i, __c (the class), __size (of the set), __sketch, __wide, __prefix and __fps."""
     own = docs.select("__key", "__n", "__i", F.col(text).alias("__text"))
     kind = own.schema["__i"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(last)
@@ -108,13 +128,14 @@ def _prepared(docs: DataFrame, text: str, k: int, prints: int, similarity: float
             for part in sliced(batch):
                 made = sets(list(texts(part.column(3))), k)
                 columns = [
-                    pa.array([class_of(s) for s, _ in made], pa.int64()), pa.array([len(s) for s, _ in made], pa.int64()), pa.array([sketch(s) for s, _ in made], pa.binary()),
+                    pa.array([class_of(s) for s, _ in made], pa.int64()), pa.array([len(s) for s, _ in made], pa.int64()), pa.array([sketch(s, CELLS) if len(s) <= 3 * CELLS else b"" for s, _ in made], pa.binary()),
+                    pa.array([wide(s) for s, _ in made], pa.binary()),
                     pa.array([prefix(s, similarity, sent.value).tobytes() for s, _ in made], pa.binary()),
                     pa.array([[int(bits(w, i + 1).view(np.int64)) for i in range(prints)] for _, w in made], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["__key", "__n", "__i", "__c", "__size", "__sketch", "__prefix", "__fps"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["__key", "__n", "__i", "__c", "__size", "__sketch", "__wide", "__prefix", "__fps"])
 
-    return own.mapInArrow(run, f"__key binary, __n boolean, __i {kind}, __c long, __size long, __sketch binary, __prefix binary, __fps array<long>")
+    return own.mapInArrow(run, f"__key binary, __n boolean, __i {kind}, __c long, __size long, __sketch binary, __wide binary, __prefix binary, __fps array<long>")
 
 
 def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -169,10 +190,11 @@ def _buckets(it):
         yield held
 
 
-def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: float, width: int) -> DataFrame:
+def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: float, width: int, marked: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of classes that share a shingle of their prefixes, are not in one
     component and may have the similarity by their sizes and sketches; (a, a) where a
     class has more such partners in a bucket than `width`, the nearest by the sketch.
+    Where classes (__c) are marked, only pairs with one of them, for others have no more.
     Buckets of one component are found by an aggregate, before sketches are joined."""
 
     def near(root, size, cells, known, i, j):
@@ -181,11 +203,12 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
         ok = (root[i] != root[j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
         i, j = i[ok], j[ok]
         differ = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
-        ok = (differ <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-6) | ~(known[i] & known[j])
+        ok = (differ <= most_differing(size[i] + size[j], similarity)) | ~(known[i] & known[j])
         return i[ok], j[ok], differ[ok]
 
     def run(it):
-        for h, root, c, size, raw in _buckets(it):
+        for h, root, c, size, raw, mark in _buckets(it):
+            mark = mark.astype(bool)
             known = np.fromiter((len(x) > 0 for x in raw), dtype=bool, count=len(h))
             cells = np.frombuffer(b"".join(x or bytes(CELLS // 8) for x in raw), np.uint64).reshape(len(h), -1)
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -203,6 +226,7 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
                 i = i[h[i] == h[i + d]]
                 if not len(i):
                     break
+                i = i[mark[i] | mark[i + d]]
                 for at in range(0, len(i), 1 << 16):
                     part = i[at : at + (1 << 16)]
                     found(*near(root, size, cells, known, part, part + d)[:2])
@@ -211,7 +235,7 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
                 back, sizes = np.unique(root[s : s + n], return_inverse=True, return_counts=True)[1:]
                 by_size = s + np.argsort(size[s : s + n], kind="stable")
                 sorted_sizes = size[by_size]
-                for i in s + np.flatnonzero(back != np.argmax(sizes)):
+                for i in s + np.flatnonzero((back != np.argmax(sizes)) & mark[s : s + n]):
                     low, high = np.searchsorted(sorted_sizes, [similarity * size[i] - 1e-6, size[i] / similarity + 1e-6])
                     others = by_size[low : high + 1]
                     _, j, differ = near(root, size, cells, known, np.full(len(others), i), others)
@@ -225,7 +249,8 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
     rows = shared.join(labelled.select("__c", "__root"), "__c")
     several = rows.groupBy("__h").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__h")
     rows = rows.join(several, "__h", "left_semi").join(one.select("__c", "__size", "__sketch"), "__c")
-    rows = rows.select("__h", "__root", "__c", "__size", "__sketch").repartition("__h").sortWithinPartitions("__h")
+    rows = rows.withColumn("__mark", F.lit(True)) if marked is None else rows.join(marked.withColumn("__mark", F.lit(True)), "__c", "left").fillna(False, "__mark")
+    rows = rows.select("__h", "__root", "__c", "__size", "__sketch", "__mark").repartition("__h").sortWithinPartitions("__h")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -268,6 +293,22 @@ def _candidates(keyed: DataFrame, radius: int, hubs: int) -> DataFrame:
     return keyed.select("__b", "__fp").repartition("__b").sortWithinPartitions("__b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _passing(pairs: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes that may have the similarity by their sizes and wider sketches."""
+
+    def run(it):
+        for batch in it:
+            a, b, m, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            ok = np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6
+            most = most_differing(m + n, similarity)
+            for i in np.flatnonzero(ok):
+                ok[i] = differing(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) <= most[i]
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    joined = pairs.join(one.select(F.col("__c").alias("a"), F.col("__size").alias("m"), F.col("__wide").alias("s")), "a").join(one.select(F.col("__c").alias("b"), F.col("__size").alias("n"), F.col("__wide").alias("t")), "b")
+    return joined.select("a", "b", "m", "n", "s", "t").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets_: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose sets have the similarity."""
 
@@ -293,7 +334,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     source = keyed.withColumn("__n", F.col(doc_id).isNull()).withColumn("__i", F.col(doc_id))
     own = scratch.stored(_prepared(source, text, k, prints, similarity, _frequent(docs, text, k)))
     least = F.min(F.struct("__n", "__i", "__key")).alias("__first")
-    one = scratch.stored(own.groupBy("__c").agg(*[F.first(x).alias(x) for x in ("__fps", "__size", "__sketch", "__prefix")], least))
+    one = scratch.stored(own.groupBy("__c").agg(*[F.first(x).alias(x) for x in ("__fps", "__size", "__sketch", "__wide", "__prefix")], least))
 
     # the prints share one pool: values that agree by chance are only candidates
     prints_ = one.select("__c", F.explode("__fps").alias("__fp"))
@@ -304,9 +345,13 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     pairs = named.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
 
     def linked(pairs):
-        """Verified pairs; only the texts of classes that are in a pair are read."""
+        """Verified pairs; only the sets of classes that are in a pair which passes are made."""
+        pairs = scratch.stored(_passing(pairs, one, similarity))
+        if pairs.isEmpty():
+            return pairs
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("__c")).distinct()
-        keys = one.join(wanted, "__c", "left_semi").select("__c", F.col("__first.__key").alias("__key"))
+        # stored, so that its size is known when the join is planned
+        keys = scratch.stored(one.join(wanted, "__c", "left_semi").select("__c", F.col("__first.__key").alias("__key")))
         some = keyed.select("__key", F.col(text).alias("__text")).join(keys, "__key").dropDuplicates(["__key"]).select("__c", "__text")
         return scratch.stored(_verified(pairs, scratch.stored(_sets_of(some, k)), similarity))
 
@@ -314,18 +359,22 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
         roots = components(links, scratch=scratch).withColumnRenamed("node", "__c")
         return scratch.stored(one.select("__c", "__first").join(roots, "__c", "left").select("__c", "__first", F.coalesce("root", "__c").alias("__root")))
 
-    links = linked(scratch.stored(pairs))
+    links = linked(pairs)
     labelled = rooted(links)
     # all pairs that no fingerprint, hub or least class of a fingerprint brought together
     shared = scratch.stored(_shared(one))
-    more = True
-    while more and not (late := scratch.stored(_apart(shared, labelled, one, similarity, width))).isEmpty():
-        more = not late.filter("a = b").isEmpty()
+    marked, more = None, True
+    while more and not (late := scratch.stored(_apart(shared, labelled, one, similarity, width, marked))).isEmpty():
+        marked = late.filter("a = b").select(F.col("a").alias("__c"))
+        more = not marked.isEmpty()
         late = linked(late.filter("a <> b"))
         if not late.isEmpty():
             links = links.unionByName(late)
             labelled = rooted(links)
         width *= 8
     stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.__key").alias("__key"))
-    stay = scratch.kept(stay)
-    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    again = own.groupBy("__key").count().filter("count > 1").select("__key", F.lit(True).alias("__again"))
+    stay = scratch.kept(stay.join(again, "__key", "left").select("__key", F.coalesce("__again", F.lit(False)).alias("__again")))
+    # only texts of rows that occur again are shuffled to keep one of each
+    out = keyed.join(stay, "__key")
+    return out.filter("not __again").select(docs.columns).unionByName(out.filter("__again").dropDuplicates(["__key"]).select(docs.columns))
