@@ -1,29 +1,35 @@
-"""Repeated word windows removed by counting the windows with a repeated anchor.
-
-This replaces a greedy relative Lempel-Ziv parse: no factor with a source and a
-length is formed. The whole input is cut into blocks by the hash of what they
-index, so that every document meets every block without a pass per block: what a document sends to a block is exactly what the block can match.
-
-1. Anchors. Of each window of `window` words, the anchor is the `anchor`-word
-   sequence with the least hash in it (leftmost of ties by hash, which are equal
-   sequences). Equal windows have equal anchors, so a window whose anchor occurs
-   once in the corpus occurs once. Each task sends each block its distinct anchors
-   with their numbers of occurrences; the blocks' indexes of anchors with two or
-   more occurrences are the dictionary's entry points.
-2. Runs. Of each document, the runs of windows whose anchor is in the dictionary
-   are taken.
-3. Windows. All windows of the runs are counted
-   exactly by a 128-bit fingerprint of their words in the block that their hash
-   names. Windows found twice or more are duplicate spans; their words go.
-
-The second and third steps read only documents that have candidates. Counts are
-combined by task before they are sent: a passage that a third of all documents
-share sends a row per task and block, not per document.
+"""Repeated word windows removed by relative parsing against indexed blocks.
+
+The corpus is its own reference. It is cut into blocks by the hash of a window's
+anchor, so that every document meets, of every block, just what can match it: of
+each window of `window` words the anchor is the `anchor`-word sequence with the
+least hash in it, and equal windows have equal anchors, so lie in one block.
+
+1. Anchors. Windows whose anchor occurs once in the corpus occur once. Anchors that
+   occur twice or more are found by a count in their blocks.
+2. Parse. Of each document, the runs of windows with a repeated anchor go to the
+   anchor's block, which indexes all its windows by their words (128-bit prints). A
+   run is factored greedily from the left: a factor begins at the first window that
+   occurs elsewhere, takes an occurrence there as its source, and is extended word by
+   word while the words of the source go on alike; then the next factor begins at the
+   next window (not after the factor's last word), so windows that cross the border of
+   two factors are looked up, too. What is shorter than a window is no factor.
+3. Borders. A run ends where the anchor changes, and its factors with it. Factors of
+   different blocks that meet are joined where one's source goes on in the other's.
+   The words of the factors are the duplicate spans.
+
+So a word goes if and only if it is in a window that occurs elsewhere. The second
+step reads only documents that have repeated anchors.
+
+What a task knows it keeps: an anchor or window that occurs twice among the words
+a task holds (`flush`) is known to be repeated, and the block is told of it once, not
+of each document. A block gets no more than one entry a task and flush for a passage,
+however many documents share it.
 
 Documents are told apart by row, not by doc_id: equal rows are copies of each
 other. A null text has no words and keeps none; n_words is 0 then. An empty
 table gives no rows. A null doc_id is a value like any other. Other columns are
-kept only by `dedup`.
+kept only by `dedup`. Rows are matched by 64-bit hashes of id and text.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posframe.llm.bpe import sliced
-from posframe.llm.common import WordHashes, mix64, row_key, stored, table, texts, words
+from posframe.llm.common import Scratch, WordHashes, mix64, row_key, table, texts, words
 
 WINDOW, ANCHOR = 35, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -139,40 +145,72 @@ def _by_shard(shard: np.ndarray, shards: int):
             yield s, order[edges[s] : edges[s + 1]]
 
 
-def _by_doc(docs: np.ndarray, values: np.ndarray, kind) -> tuple[list, list]:
+def _by_doc(docs: np.ndarray, values: np.ndarray) -> tuple[list, list]:
+    """Each of docs (sorted) once, with its values."""
     if not len(docs):
         return [], []
-    order = np.lexsort((values, docs))
-    docs, values = docs[order], values[order].astype(kind)
     at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
     ends = np.r_[at[1:], len(docs)]
     return docs[at].view(np.int64).tolist(), [values[i:j].tobytes() for i, j in zip(at, ends, strict=True)]
 
 
-def _grouped(df: DataFrame, shards: int, schema: str, reduce) -> DataFrame:
-    """reduce(columns as lists of bytes) of each shard."""
+def _sent(shards: int, groups: list[tuple[np.ndarray, list[np.ndarray]]], names: list[str]) -> pa.RecordBatch:
+    """A row for each shard with what goes there of each group (shard numbers, columns)."""
+    rows: dict[int, list] = {}
+    first = 0
+    for shard, columns in groups:
+        for s, i in _by_shard(shard, shards):
+            row = rows.setdefault(s, [None] * len(names))
+            for j, x in enumerate(columns):
+                row[first + j] = x[i].tobytes()
+        first += len(columns)
+    made = [pa.array(list(rows), pa.int32())] + [pa.array([r[j] for r in rows.values()], pa.binary()) for j in range(len(names))]
+    return pa.RecordBatch.from_arrays(made, names=["shard", *names])
 
-    def run(t: pa.Table) -> pa.Table:
-        return reduce({c: [x.as_py() for x in t.column(c)] for c in t.column_names if c != "shard"})
 
-    return df.repartition(shards, "shard").groupBy("shard").applyInArrow(run, schema)
+def _blocks(sent: DataFrame, shards: int, schema: str, reduce) -> DataFrame:
+    """reduce(columns as lists of bytes) of each shard; a task has one."""
+
+    def run(it):
+        held: dict[str, list] = {}
+        for batch in it:
+            for c in batch.schema.names[1:]:
+                held.setdefault(c, []).extend(x.as_py() for x in batch.column(c) if x.is_valid)
+        if held:
+            yield from reduce(held).to_batches(max_chunksize=4096)
+
+    return sent.repartitionById(shards, "shard").mapInArrow(run, schema)
 
 
 def _joined(parts: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=kind)
 
 
+def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys (of equal ones by place) and the sizes of the groups in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.diff(np.r_[np.flatnonzero(new), len(order)])
+
+
 def repeated_anchors(docs: DataFrame, shards: int, window: int, anchor: int, flush: int = 1 << 20) -> DataFrame:
     """(__key, anchors binary) of the rows of docs (__key, __text) that have
     anchors which occur twice or more in all of them. Several rows for a key."""
+    names = ["keys", "owners", "many", "own_keys", "own_owners"]
 
     def send(it):
         keys, owners, held = [], [], 0
 
         def out():
-            k, d = np.concatenate(keys), np.concatenate(owners)
-            rows = [(s, k[i].tobytes(), d[i].tobytes()) for s, i in _by_shard(_shard(k, shards), shards)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "owners"])
+            k, d = np.concatenate(keys), np.concatenate(owners).view(np.uint64)
+            order, size = _repeats(k)
+            k, d, first = k[order], d[order], np.cumsum(size) - size
+            one, many = first[size == 1], first[size > 1]
+            own = np.repeat(size > 1, size)
+            return _sent(shards, [(_shard(k[one], shards), [k[one], d[one]]), (_shard(k[many], shards), [k[many]]), (_shard(d[own], shards), [k[own], d[own]])], names)
 
         for batch in it:
             for part in sliced(batch):
@@ -190,34 +228,85 @@ def repeated_anchors(docs: DataFrame, shards: int, window: int, anchor: int, flu
             yield out()
 
     def reduce(columns):
-        keys, owners = _joined(columns["keys"], np.uint64), _joined(columns["owners"], np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        twice = np.r_[False, same] | np.r_[same, False]
-        pairs = np.unique(np.stack([owners[order][twice], keys[twice]], axis=1), axis=0) if twice.any() else np.zeros((0, 2), np.uint64)
-        owner, values = _by_doc(pairs[:, 0], pairs[:, 1], np.uint64)
+        keys, owners, many, own_keys, own_owners = (_joined(columns[c], np.uint64) for c in names)
+        order, size = _repeats(keys)
+        keys, owners = keys[order], owners[order]
+        twice = np.repeat(size > 1, size) | np.isin(keys, many)
+        keys, owners = np.concatenate([keys[twice], own_keys]), np.concatenate([owners[twice], own_owners])
+        order, size = _repeats(owners, keys)
+        order = order[np.cumsum(size) - size]
+        owner, values = _by_doc(owners[order], keys[order])
         return pa.table({"__key": pa.array(owner, pa.int64()), "anchors": pa.array(values, pa.binary())})
 
-    return _grouped(docs.mapInArrow(send, "shard int, keys binary, owners binary"), shards, "__key long, anchors binary", reduce)
-
-
-def repeated_windows(docs: DataFrame, shards: int, window: int, anchor: int, flush: int = 1 << 20) -> DataFrame:
-    """(__key, places binary: unsigned 32-bit starts) of the windows, of those of
-    docs (__key, __text, anchors: array of binary) with an anchor of the list,
-    whose words occur twice or more. Several rows for a key."""
+    return _blocks(docs.mapInArrow(send, "shard int" + "".join(f", {c} binary" for c in names)), shards, "__key long, anchors binary", reduce)
+
+
+#: A factor, or the part of one that a block found: its first window and number of windows,
+#: and where its source is: the row's key and the first window there.
+FACTOR = np.dtype([("at", "<u4"), ("n", "<u4"), ("source", "<u8"), ("source_at", "<u4")])
+
+
+def factors(owner: np.ndarray, place: np.ndarray, has: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy factors of windows (owner, place), in runs of adjacent places: each
+    begins at a window that has a source and goes on while the next one's source follows."""
+    on = np.zeros(len(owner), dtype=bool)
+    on[1:] = has[1:] & has[:-1] & (owner[1:] == owner[:-1]) & (place[1:] == place[:-1] + 1) & (source[1:] == source[:-1]) & (source_at[1:] == source_at[:-1] + 1)
+    begin = np.flatnonzero(has & ~on)
+    out = np.zeros(len(begin), dtype=FACTOR)
+    out["at"], out["source"], out["source_at"] = place[begin], source[begin], source_at[begin]
+    group = np.cumsum(has & ~on) - 1
+    out["n"] = np.bincount(group[has], minlength=len(begin))
+    return owner[begin], out
+
+
+def _sources(order: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each member of a group, another one: the first, of the first the second."""
+    first = np.cumsum(size) - size
+    out = np.repeat(order[first], size)
+    several = first[size > 1]
+    out[several] = order[several + 1]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def parsed_windows(docs: DataFrame, shards: int, window: int, anchor: int, flush: int = 1 << 20) -> DataFrame:
+    """(__key, factors binary: FACTOR) of the windows, of those of docs (__key, __text,
+    anchors: array of binary) with an anchor of the list, whose words occur twice or
+    more. Several rows for a key."""
+    kinds = {
+        "owners": np.uint64, "places": np.uint32, "counts": np.uint32, "marks": np.uint64, "prints": np.uint64,  # runs of windows that the task has once
+        "many_marks": np.uint64, "many_prints": np.uint64, "many_owners": np.uint64, "many_places": np.uint32,  # one of those that it has more often
+        "own_owners": np.uint64, "own_factors": FACTOR,  # and their factors
+    }
+    names = list(kinds)
 
     def send(it):
         rows, held = [], 0
 
         def out():
-            whole = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            key, place, count, mark, prints = whole
-            begin = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-            made = []
-            for s, i in _by_shard(_shard(mark, shards), shards):
-                made.append((s, key[i].tobytes(), place[i].tobytes(), count[i].tobytes(), mark[i].tobytes(), prints[_spans(begin[i], count[i].astype(np.int64))].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*made, strict=True))], names=["shard", "owners", "places", "counts", "marks", "prints"])
+            owner, place, count, mark, prints = (np.concatenate(c) for c in zip(*rows, strict=True))
+            run = np.repeat(np.arange(len(count)), count)
+            at = _spans(place, count)
+            order, size = _repeats(prints, mark[run])
+            many = np.zeros(len(prints), dtype=bool)
+            many[order] = np.repeat(size > 1, size)
+            source = _sources(order, size)
+            own_owner, own = factors(owner[run], at, many, owner[run][source], at[source])
+            first = order[(np.cumsum(size) - size)[size > 1]]
+            # runs of windows that are here once
+            once = np.flatnonzero(~many)
+            new = np.ones(len(once), dtype=bool)
+            new[1:] = (np.diff(once) != 1) | (run[once[1:]] != run[once[:-1]])
+            begin = np.flatnonzero(new)
+            length = np.diff(np.r_[begin, len(once)])
+            head = once[begin]
+            return _sent(shards, [
+                (_shard(mark[run[head]], shards), [owner[run[head]], at[head].astype(np.uint32), length.astype(np.uint32), mark[run[head]]]),
+                (_shard(mark[run[once]], shards), [prints[once]]),
+                (_shard(mark[run[first]], shards), [mark[run[first]], prints[first], owner[run[first]], at[first].astype(np.uint32)]),
+                (_shard(own_owner, shards), [own_owner, own]),
+            ], names)
 
         for batch in it:
             for part in sliced(batch):
@@ -237,7 +326,7 @@ def repeated_windows(docs: DataFrame, shards: int, window: int, anchor: int, flu
                     continue
                 prints = parsed.rolling(parsed.hashes, window)[parsed.at[_spans(begin, count)]]
                 owners = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[doc]
-                rows.append((owners, (parsed.at[begin] - parsed.starts[doc]).astype(np.uint32), count.astype(np.uint32), mark, prints))
+                rows.append((owners, parsed.at[begin] - parsed.starts[doc], count, mark, prints))
                 held += len(prints)
                 if held >= flush:
                     yield out()
@@ -246,67 +335,99 @@ def repeated_windows(docs: DataFrame, shards: int, window: int, anchor: int, flu
             yield out()
 
     def reduce(columns):
-        count = _joined(columns["counts"], np.uint32).astype(np.int64)
-        prints = _joined(columns["prints"], np.uint64)
-        mark = np.repeat(_joined(columns["marks"], np.uint64), count)
-        place = _spans(_joined(columns["places"], np.uint32).astype(np.int64), count)
-        owner = np.repeat(_joined(columns["owners"], np.uint64), count)
-        order = np.argsort(prints, kind="stable")
-        p, m = prints[order], mark[order]
-        same = (p[1:] == p[:-1]) & (m[1:] == m[:-1])
-        twice = order[np.r_[False, same] | np.r_[same, False]]
-        key, values = _by_doc(owner[twice], place[twice], np.uint32)
-        return pa.table({"__key": pa.array(key, pa.int64()), "places": pa.array(values, pa.binary())})
-
-    return _grouped(docs.mapInArrow(send, "shard int, owners binary, places binary, counts binary, marks binary, prints binary"), shards, "__key long, places binary", reduce)
-
-
-def kept_words(text: bytes, places: list[bytes] | None, window: int) -> tuple[int, list[tuple[int, int]], bytes]:
-    """The number of words, the duplicate spans (start, end) and the words that
-    stay, joined by one space."""
+        got = {c: _joined(columns[c], k) for c, k in kinds.items()}
+        count = got["counts"].astype(np.int64)
+        n = int(count.sum())
+        # the task's windows, then those that other tasks have more often
+        at = np.r_[_spans(got["places"].astype(np.int64), count), got["many_places"].astype(np.int64)]
+        owner = np.r_[np.repeat(got["owners"], count), got["many_owners"]]
+        mark = np.r_[np.repeat(got["marks"], count), got["many_marks"]]
+        prints = np.r_[got["prints"], got["many_prints"]]
+        order, size = _repeats(prints, mark)
+        has = np.zeros(len(prints), dtype=bool)
+        has[order] = np.repeat(size > 1, size)
+        source = _sources(order, size)
+        key, found = factors(owner[:n], at[:n], has[:n], owner[source[:n]], at[source[:n]])
+        key, found = np.r_[key, got["own_owners"]], np.r_[found, got["own_factors"]]
+        order = np.lexsort((found["at"], key))
+        key, values = _by_doc(key[order], found[order])
+        return pa.table({"__key": pa.array(key, pa.int64()), "factors": pa.array(values, pa.binary())})
+
+    return _blocks(docs.mapInArrow(send, "shard int" + "".join(f", {c} binary" for c in names)), shards, "__key long, factors binary", reduce)
+
+
+def joined_factors(parts: list[bytes]) -> np.ndarray:
+    """A document's factors in order, those that go on in each other joined."""
+    found = _joined(parts, FACTOR)
+    if not len(found):
+        return found
+    found = found[np.unique(found["at"], return_index=True)[1]]
+    before, after = found[:-1], found[1:]
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (before["at"] + before["n"] != after["at"]) | (before["source"] != after["source"]) | (before["source_at"] + before["n"] != after["source_at"])
+    begin = np.flatnonzero(new)
+    out = found[begin].copy()
+    out["n"] = np.add.reduceat(found["n"], begin)
+    return out
+
+
+def kept_words(text: bytes, parts: list[bytes] | None, window: int) -> tuple[int, list[tuple[int, int]], bytes, np.ndarray]:
+    """The number of words, the duplicate spans (start, end), the words that stay,
+    joined by one space, and the factors."""
     ws = words(text)
-    if not places:
-        return len(ws), [], b" ".join(ws)
-    starts = np.unique(_joined(places, np.uint32).astype(np.int64))
+    found = joined_factors(parts or [])
+    if not len(found):
+        return len(ws), [], b" ".join(ws), found
     step = np.zeros(len(ws) + 1, dtype=np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + window, -1)
+    np.add.at(step, found["at"].astype(np.int64), 1)
+    np.add.at(step, found["at"].astype(np.int64) + found["n"] + window - 1, -1)
     out = np.cumsum(step[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
-    return len(ws), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), b" ".join([w for w, gone in zip(ws, out.tolist(), strict=True) if not gone])
+    return len(ws), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), b" ".join([w for w, gone in zip(ws, out.tolist(), strict=True) if not gone]), found
 
 
-def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, anchor: int = ANCHOR, shards: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, anchor: int = ANCHOR, shards: int | None = None, shard_bytes: int = 32 << 20, with_factors: bool = False, flush: int = 1 << 20) -> DataFrame:
     """keep, n_words long, spans (array of start and end, in words) and kept (the
-    words that stay, joined by one space; UTF-8 as binary), a row for each of docs."""
+    words that stay, joined by one space; UTF-8 as binary), a row for each of docs;
+    if asked for, factors (start, end, source: the key of id and text of a row with the
+    same words, source_start) and __key."""
     if not 0 < anchor < window:
         raise ValueError("an anchor is shorter than a window")
     if "__" in text or any(c.startswith("__") for c in keep):
         raise ValueError("column names that begin with __ are the operator's own")
+    scratch = Scratch(docs.sparkSession)
     source = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     source = source.withColumn("__key", row_key(*source.columns))
     if shards is None:
-        shards = max(8, -(-docs.count() // 16384))
-    found = repeated_anchors(source.select("__key", "__text"), shards, window, anchor)
+        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+        shards = max(8, -(-size // shard_bytes))
+    found = repeated_anchors(source.select("__key", "__text"), shards, window, anchor, flush)
     found = found.groupBy("__key").agg(F.collect_list("anchors").alias("anchors"))
-    marked = stored(source.join(found, "__key", "left"))
+    marked = scratch.stored(source.join(found, "__key", "left"))
     some = marked.filter("anchors is not null")
-    places = repeated_windows(some.select("__key", "__text", "anchors"), shards, window, anchor)
-    places = places.groupBy("__key").agg(F.collect_list("places").alias("places"))
-    joined = some.drop("anchors").join(places, "__key", "left").unionByName(marked.filter("anchors is null").drop("anchors").withColumn("places", F.lit(None).cast("array<binary>")))
+    parsed = parsed_windows(some.select("__key", "__text", "anchors"), shards, window, anchor, flush)
+    parsed = parsed.groupBy("__key").agg(F.collect_list("factors").alias("factors"))
+    joined = some.drop("anchors").join(parsed, "__key", "left").unionByName(marked.filter("anchors is null").drop("anchors").withColumn("factors", F.lit(None).cast("array<binary>")))
     own = [f"__k{i}" for i in range(len(keep))]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words long, spans array<struct<start:int,end:int>>, kept binary"
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    factors_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
+    names = [*keep, "n_words", "spans", "kept"]
+    if with_factors:
+        schema, names = schema + ", factors array<struct<start:int,end:int,source:long,source_start:int>>, __key long", [*names, "factors", "__key"]
 
     def run(it):
         for batch in it:
             for part in sliced(batch):
                 out = [kept_words(t, p, window) for t, p in zip(texts(part.column(len(own))), part.column(len(own) + 1).to_pylist(), strict=True)]
                 columns = [part.column(i) for i in range(len(own))]
-                columns += [pa.array([n for n, _, _ in out], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in out], spans_type), pa.array([k for _, _, k in out], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "spans", "kept"])
+                columns += [pa.array([x[0] for x in out], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in out], spans_type), pa.array([x[2] for x in out], pa.binary())]
+                if with_factors:
+                    shown = [[{"start": int(f["at"]), "end": int(f["at"]) + int(f["n"]) + window - 1, "source": int(f["source"].astype(np.int64)), "source_start": int(f["source_at"])} for f in x[3]] for x in out]
+                    columns += [pa.array(shown, factors_type), part.column(len(own) + 2)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*own, "__text", "places").mapInArrow(run, schema)
+    return joined.select(*own, "__text", "factors", "__key").mapInArrow(run, schema)
 
 
 def op5_substring_dedup(spark, sf_dir) -> DataFrame:

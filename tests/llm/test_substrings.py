@@ -47,6 +47,60 @@ def test_edges(spark, frame, window, anchor, shards):
     assert substrings.dedup(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("flush", [1, 1 << 20])
+def test_factors(spark, frame, flush):
+    """Each factor has the words of its source, is at another place, and begins as far left
+    and goes as far right as its source allows; together they are the repeated windows."""
+    random.seed(flush)
+    window, passages = 6, [random.choices("abcdefgh", k=40) for _ in range(4)]
+    rows = []
+    for k in range(60):
+        parts = [f"own{k}"]
+        for x in random.choices(range(4), k=3):
+            a = random.randrange(30)
+            parts += passages[x][a : a + random.randrange(4, 25)] + [f"cut{k}{x}"] * random.randrange(2)
+        rows.append((k, " ".join(parts)))
+    out = substrings.dedup(frame(rows), window=window, anchor=3, shards=3, with_factors=True, flush=flush).collect()
+    assert got(out_frame(out)) == brute(rows, window)
+    ws, key = {r.doc_id: dict(rows)[r.doc_id].split() for r in out}, {r["__key"]: r.doc_id for r in out}
+    total = 0
+    for r in out:
+        covered = set()
+        for f in r.factors:
+            other, n = ws[key[f.source]], f.end - f.start
+            assert n >= window and (key[f.source], f.source_start) != (r.doc_id, f.start)
+            assert other[f.source_start : f.source_start + n] == ws[r.doc_id][f.start : f.end]
+            covered |= set(range(f.start, f.end))
+            total += 1
+        assert covered == {i for s in r.spans for i in range(s.start, s.end)}
+        for f, g in zip(r.factors, r.factors[1:], strict=False):
+            assert g.start > f.start and g.end > f.end
+    assert total > 100
+
+
+class out_frame(list):
+    def collect(self):
+        return self
+
+
+@pytest.mark.parametrize("flush", [5, 1 << 20])
+def test_hot_passage_sends_one_entry_a_task(spark, frame, flush):
+    """What blocks get doesn't grow with the documents that share a passage."""
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(k, f"a{k} {passage} b{k}") for k in range(400)]
+    assert got(substrings.dedup(frame(rows), shards=4, flush=flush)) == brute(rows)
+    for copies in (100, 400):
+        docs = frame(rows[:copies]).coalesce(1).selectExpr("doc_id as __key", "text as __text")
+        seen = []
+        blocks, substrings._blocks = substrings._blocks, lambda sent, *rest, seen=seen: seen.append(sent)
+        try:
+            substrings.repeated_anchors(docs, 4, 35, 16)
+        finally:
+            substrings._blocks = blocks
+        sent = seen[0].collect()
+        assert sum(len(r["keys"] or b"") + len(r["many"] or b"") for r in sent) // 8 <= 12 + 3 * copies  # those at the borders are each document's own
+
+
 def test_sliding():
     x = np.random.default_rng(1).integers(0, 50, 200)
     for w in (1, 2, 3, 7, 16, 20):
