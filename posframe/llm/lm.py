@@ -3,7 +3,9 @@
 Counting. Tokens are the lower-cased words and an end. Each task sends, to each
 shard of the token hashes, its distinct tokens with their training counts and
 the documents that hold them, and its distinct longer n-grams with their
-counts. A shard adds up, answers each task's documents with their sums of
+counts. Of the `head`, the most frequent tokens of a bounded sample and the end, it
+sends the counts alone: their totals go to all tasks, and each adds them up for its own
+documents, so no shard lists the documents of a hot token. A shard adds up, answers each task's documents with their sums of
 log10(count + 1) (the exact base score), and builds its slice of the filter.
 
 Filter. A count is quantised to a level: 1, 2, ..., 8, then steps of a fifth.
@@ -42,6 +44,8 @@ from posframe.llm.quality import remainder
 
 START, END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 ORDER, BITS, PROBES = 2, 8, 4
+#: Tokens whose documents aren't listed, and about how many documents they are taken from.
+HEAD, HEAD_SAMPLE = 4096, 4096
 GRID = np.r_[0.0, 0.002, 0.01, 0.03, 0.06, np.linspace(0.1, 0.9, 9), 0.95, 0.99]
 BUCKETS = 24
 
@@ -159,9 +163,31 @@ def _bytes(*arrays):
     return [a.tobytes() for a in arrays]
 
 
-def count(docs: DataFrame, order: int, shards: int, bits: int, probes: int, flush: int) -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, size: int = HEAD, sample: int = HEAD_SAMPLE) -> np.ndarray:
+    """The sorted hashes of the `size` most frequent tokens of about `sample` of docs (__key, __text), and the end."""
+
+    def run(it):
+        for batch in it:
+            for part in sliced(batch):
+                keys, n = merged_sum(hashed_words(list(texts(part.column(0))), lower=True)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    share = max(1, docs.count() // sample)
+    some = docs.filter(F.pmod("__key", F.lit(share)) == 0).select("__text").limit(2 * sample)
+    found = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size).toArrow()
+    return np.unique(np.r_[found.column("token").to_numpy().astype(np.int64).view(np.uint64), END])
+
+
+def among(head: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's place in the sorted head, and whether it is there."""
+    at = np.minimum(np.searchsorted(head, tokens), len(head) - 1)
+    return at, head[at] == tokens
+
+
+def count(docs: DataFrame, head: np.ndarray, order: int, shards: int, bits: int, probes: int, flush: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """docs: (__key, __learn, __text). Answers (batch, owners, sums, known, tokens,
-    types) and slices (shard, size, data), both from one exchange."""
+    types) without the head, slices (shard, size, data), both from one exchange, and the
+    training counts of the head."""
 
     def send(it):
         base, flushes = TaskContext.get().partitionId() << 32, 0
@@ -182,11 +208,14 @@ def count(docs: DataFrame, order: int, shards: int, bits: int, probes: int, flus
             posts = np.diff(np.r_[first, len(token)]).astype(np.uint32)
             trained = np.add.reduceat(times.astype(np.int64) * learns[doc], first).astype(np.uint32)
             types = token[first]
+            listed = ~among(head, types)[1]
+            doc, times = doc[np.repeat(listed, posts)], times[np.repeat(listed, posts)]
+            posts = np.where(listed, posts, 0).astype(np.uint32)
             longer = [g.keys[k][g.whole(k + 1) & learns[g.doc + s]] for k in range(1, order) for g, s in zip(grams, shift, strict=True)]
             longer, often = merged_sum(np.concatenate(longer)) if longer else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             token_cut = np.searchsorted(shard_of(types, shards), np.arange(shards + 1))
             gram_cut = np.searchsorted(shard_of(longer, shards), np.arange(shards + 1))
-            post_cut = np.r_[first, len(token)][token_cut]
+            post_cut = np.r_[0, np.cumsum(posts, dtype=np.int64)][token_cut]
             number = base + flushes
             flushes += 1
             columns = [[] for _ in range(9)]
@@ -223,7 +252,7 @@ def count(docs: DataFrame, order: int, shards: int, bits: int, probes: int, flus
         types, c = merged_sum(np.concatenate(token), np.concatenate(trained))
         grams, gc = merged_sum(np.concatenate(gram), np.concatenate(often))
         log = np.log10(c + 1.0)
-        out = [[] for _ in range(9)]
+        out = [[] for _ in range(10)]
         for k, (r, own) in enumerate(zip(rows, token, strict=True)):
             at = np.searchsorted(types, own)
             posts = np.frombuffer(r["types"], np.uint32, len(own), 12 * len(own))
@@ -233,21 +262,33 @@ def count(docs: DataFrame, order: int, shards: int, bits: int, probes: int, flus
             sums = np.bincount(doc, weights=times * np.repeat(log[at], posts), minlength=r["n"])
             known = np.bincount(doc, weights=times * np.repeat(c[at] > 0, posts), minlength=r["n"])
             total = np.bincount(doc, weights=times, minlength=r["n"])
-            row = (r["batch"], r["owners"], sums.tobytes(), known.tobytes(), total.tobytes(), int(c.sum()) if k == 0 else 0, int((c > 0).sum()) if k == 0 else 0, None, None)
+            row = (r["batch"], r["owners"], sums.tobytes(), known.tobytes(), total.tobytes(), int(c.sum()) if k == 0 else 0, int((c > 0).sum()) if k == 0 else 0, None, None, None)
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         keys, counts = np.concatenate([types[c > 0], grams]), np.concatenate([c[c > 0], gc])
         made = build_slice(keys, counts, bits, probes)
-        for column, x in zip(out, (None, None, None, None, None, 0, 0, rows[0]["shard"], made.tobytes()), strict=True):
+        place, there = among(head, types)
+        totals = np.stack([place[there], c[there]], axis=1).astype(np.int64)
+        for column, x in zip(out, (None, None, None, None, None, 0, 0, rows[0]["shard"], made.tobytes(), totals.tobytes()), strict=True):
             column.append(x)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["batch", "owners", "sums", "known", "total", "tokens", "types", "shard", "data"]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["batch", "owners", "sums", "known", "total", "tokens", "types", "shard", "data", "head"]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
     sent = docs.mapInArrow(send, "shard int, batch long, owners binary, n int, types binary, nt int, posts binary, grams binary, ng int")
-    sent = sent.repartition(shards, "shard")
-    both = stored(sent.groupBy("shard").applyInArrow(reduce, "batch long, owners binary, sums binary, known binary, total binary, tokens long, types long, shard int, data binary"))
-    return both.filter("batch is not null").drop("shard", "data"), both.filter("data is not null").select("shard", "data")
+
+    def run(it):
+        held = list(it)  # one shard
+        if held:
+            yield from reduce(pa.Table.from_batches(held)).to_batches(max_chunksize=64)
+
+    schema = "batch long, owners binary, sums binary, known binary, total binary, tokens long, types long, shard int, data binary, head binary"
+    both = stored(sent.repartitionById(shards, "shard").mapInArrow(run, schema))
+    totals = np.zeros(len(head), dtype=np.int64)
+    for r in both.filter("head is not null").select("head").toLocalIterator():
+        place, c = np.frombuffer(r.head, np.int64).reshape(-1, 2).T
+        totals[place] = c
+    return both.filter("batch is not null").drop("shard", "data", "head"), both.filter("data is not null").select("shard", "data"), totals
 
 
 def base_sums(answers: DataFrame) -> DataFrame:
@@ -317,7 +358,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=Non
     source = docs.select(F.col(doc_id).alias("__id"), row_key(doc_id, text).alias("__key"), F.coalesce(learn if learn is not None else F.lit(True), F.lit(True)).alias("__learn"), F.col(text).alias("__text"))
     if shards is None:
         shards = max(8, -(-docs.count() // 4096))
-    answers, parts = count(source.select("__key", "__learn", "__text"), order, shards, bits, probes, flush)
+    head = frequent(source.select("__key", "__text"))
+    answers, parts, totals = count(source.select("__key", "__learn", "__text"), head, order, shards, bits, probes, flush)
     n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
 
     sizes = [(r.shard, r.n) for r in parts.select("shard", F.length("data").alias("n")).collect()]
@@ -333,7 +375,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=Non
         sent = _send(spark, parts, g, shards)
         last = i == len(groups) - 1
         # the texts are read no more after the last group
-        levelled = stored(_levels(levelled, sent, order, probes, last))
+        levelled = stored(_levels(levelled, sent, order, probes, last, head, totals))
         sent.unpersist()
 
     weights: list[np.ndarray] = []
@@ -358,13 +400,14 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", learn=Non
             for part in sliced(batch):
                 place, level, starts = _unpacked(part.column(2), order)
                 out = np.add.reduceat(np.log10(probabilities(place, level, n, v, weights)), starts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out)], names=["__id", "__key", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(part.column(i) for i in (3, 4, 5)), pa.array(out)], names=["__id", "__key", *extra, "score"])
 
-    scored = levelled.select("__id", "__key", "__levels").mapInArrow(run, f"__id {kind}, __key long, score double")
-    both = scored.join(base_sums(answers), "__key")
+    extra = ["__sums", "__known", "__total"]
+    scored = levelled.select("__id", "__key", "__levels", *extra).mapInArrow(run, f"__id {kind}, __key long, __sums double, __known long, __total long, score double")
+    both = scored.join(base_sums(answers), "__key").withColumn("n_tokens", F.col("n_tokens") + F.col("__total"))
     return both.select(
-        F.col("__id").alias(doc_id), "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("sums") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
+        F.col("__id").alias(doc_id), "n_tokens", (F.col("known") + F.col("__known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("sums") + F.col("__sums") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
     )
 
 
@@ -382,11 +425,15 @@ def _send(spark, parts: DataFrame, group: list[int], shards: int):
     return spark.sparkContext.broadcast(Filter({r.shard: bytes(r.data) for r in rows}, shards))
 
 
-def _levels(docs: DataFrame, sent, order: int, probes: int, last: bool) -> DataFrame:
+def _levels(docs: DataFrame, sent, order: int, probes: int, last: bool, head: np.ndarray, totals: np.ndarray) -> DataFrame:
     """docs with what the broadcast slices tell added to __levels, a byte for each token
-    and length of n-gram; without the texts, if they are the last slices."""
-    names = [c for c in docs.columns if not (last and c == "__text")]
-    schema = docs.select(names).schema
+    and length of n-gram. With the last slices, __sums, __known and __total of the tokens
+    of the head take the place of the texts."""
+    names = [c for c in docs.columns if not (last and c == "__text")] + (["__sums", "__known", "__total"] if last else [])
+    schema = docs.select([c for c in docs.columns if not (last and c == "__text")]).schema
+    if last:
+        schema = schema.add("__sums", "double").add("__known", "long").add("__total", "long")
+    log = np.log10(totals + 1.0)
 
     def run(it):
         for batch in it:
@@ -397,8 +444,15 @@ def _levels(docs: DataFrame, sent, order: int, probes: int, last: bool) -> DataF
                 level = read_levels(grams, order, sent.value, probes, old)
                 cuts = list(zip(grams.starts.tolist(), (grams.starts + grams.lens).tolist(), strict=True))
                 made = [[x[i:j].tobytes() for x in level] for i, j in cuts]
-                kept = [part.column(i) for i in range(3 if last else 4)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.list_(pa.binary()))], names=names)
+                columns = [*(part.column(i) for i in range(3 if last else 4)), pa.array(made, pa.list_(pa.binary()))]
+                if last:
+                    at, there = among(head, grams.token)
+                    there &= grams.place > 0
+                    pairs, times = np.unique(grams.doc[there].astype(np.int64) * len(head) + at[there], return_counts=True)
+                    doc, at = np.divmod(pairs, len(head))
+                    sums = [np.bincount(doc, weights=times * x[at], minlength=part.num_rows) for x in (log, totals > 0, np.ones(len(head)))]
+                    columns += [pa.array(sums[0]), *(pa.array(x.astype(np.int64)) for x in sums[1:])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -90,3 +90,44 @@ def test_probabilities_sum_to_about_one(order):
         level = lm.read_levels(g, order, made, 8)
         total += lm.probabilities(g.place, level, n, v, weights)[3]
     assert 0.85 < total < 1.15
+
+
+def test_score_by_brute_force(spark, frame):
+    """The smoothed score with exact counts: all are below 8, whose levels are exact, and
+    the filter is so large that it doesn't err."""
+    random.seed(11)
+    rows = [(k, " ".join(random.choices(["v%d" % i for i in range(60)], k=30))) for k in range(7)]
+    learned = [k not in (2, 5) for k, _ in rows]
+    split = [[0] + t.split() + [1] for _, t in rows]
+    one = Counter(w for ws, y in zip(split, learned, strict=True) if y for w in ws[1:])
+    two = Counter(p for ws, y in zip(split, learned, strict=True) if y for p in zip(ws, ws[1:], strict=False))
+    one[0] = one[1]
+    n, v = sum(c for w, c in one.items() if w != 0), len(one) - 1
+    assert max(one.values()) < 8
+    likely = [[0.0] * len(lm.GRID) for _ in range(lm.BUCKETS)]
+    for ws, y in zip(split, learned, strict=True):
+        for a, b in zip(ws, ws[1:], strict=False):
+            if y:
+                seen, p = min(1.0, max(two[a, b] - 1, 0) / max(one[a] - 1, 1)), max(one[b], 1) / (n + v + 1)
+                for g, x in enumerate(lm.GRID):
+                    likely[int(math.log2(one[a]))][g] += math.log(x * seen + (1 - x) * p)
+    weight = [lm.GRID[max(range(len(x)), key=x.__getitem__)] for x in likely]
+    want = {}
+    for (k, _), ws in zip(rows, split, strict=True):
+        want[k] = 0.0
+        for a, b in zip(ws, ws[1:], strict=False):
+            x = weight[int(math.log2(one[a]))] if one[a] else 0.0
+            want[k] += math.log10(x * min(1.0, two[a, b] / max(one[a], 1)) + (1 - x) * (one[b] + 1) / (n + v + 1))
+    from pyspark.sql import functions as F
+
+    for shards in (None, 1):
+        out = lm.score(frame(rows), learn=~F.col("doc_id").isin(2, 5), bits=256, probes=16, shards=shards).collect()
+        assert {r.doc_id: round(r.score, 8) for r in out} == {k: round(x, 8) for k, x in want.items()}
+
+
+def test_head_is_not_listed(spark, frame, monkeypatch):
+    """Base scores are the same whatever is in the head, and the head's documents aren't sent."""
+    rows = [(k, "the common words " + " ".join("own%d" % (k % 7 + i) for i in range(5))) for k in range(300)]
+    check(lm.score(frame(rows)).collect(), rows, [True] * 300)
+    monkeypatch.setattr(lm, "frequent", lambda docs: np.array([lm.END], dtype=np.uint64))
+    check(lm.score(frame(rows)).collect(), rows, [True] * 300)
