@@ -81,7 +81,7 @@ class Vocabulary:
             shape = json.loads(self.tokenizer.to_str())
             pre = shape.get("pre_tokenizer") or {}
             self.spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not shape.get("normalizer")
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.known, self.matches = limit, {}, {}
         self.model, self.chars = self.tokenizer.model, byte_chars()
         self._bytes: list[bytes] | None = None
@@ -109,7 +109,7 @@ class Vocabulary:
         return self._bytes
 
     def _cuts(self, text: str) -> list[str]:
-        if not self.spaced or "\0" in text or _RUN.search(text):
+        if not self.spaced or "\0" in text or _RUN.search(text) or any(t in text for t in self.special):
             return [text]
         return text.replace(" ", "\0 ").split("\0")
 
@@ -130,7 +130,7 @@ class Vocabulary:
             self.matches.clear()
         for piece in pieces:
             core = piece.rstrip(_MARKS)
-            if self.spaced and core[:1] == " " and core[1:].isalpha():
+            if self.spaced and core[:1] == " " and core[1:].isalpha() and not any(t in piece for t in self.special):
                 out[piece] = self._match(core) + (self._match(piece[len(core) :]) if len(core) < len(piece) else b"")
             else:
                 others.append(piece)
@@ -175,7 +175,8 @@ class Vocabulary:
 
 class Ranked:
     """The ids of a byte-level vocabulary whose merges are in the order of their
-    ids: merging by least id is then merging by rank, which a faster library does."""
+    ids: merging by least id is then merging by rank, which a faster library does.
+    An added token that stands in a text has its id, as in the tokenizers library."""
 
     _made: dict = {}
 
@@ -191,13 +192,17 @@ class Ranked:
         if not plain or any(a >= b for a, b in zip(made, made[1:], strict=False)):
             raise ValueError("not a byte-level vocabulary in the order of its merges")
         back = {c: b for b, c in enumerate(byte_chars())}
-        special = {t["content"] for t in shape.get("added_tokens", [])}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in shape.get("added_tokens", [])):
+            raise ValueError("added tokens that take more than their own characters")
+        special = {t["content"]: t["id"] for t in shape.get("added_tokens", [])}
         ranks = {bytes(map(back.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
-        self.encoding = tiktoken.Encoding("own", pat_str=SPACED_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("own", pat_str=SPACED_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = list(special)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            yield array("I", self.encoding.encode_ordinary(text)).tobytes()
+            ids = self.encoding.encode(text, allowed_special="all") if any(t in text for t in self.special) else self.encoding.encode_ordinary(text)
+            yield array("I", ids).tobytes()
 
 
 def encoder(path: str):

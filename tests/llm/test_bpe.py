@@ -38,7 +38,13 @@ def test_ranks_give_the_ids_of_the_library():
     assert isinstance(one, bpe.Ranked)
     random.seed(9)
     docs = ["".join(random.choices([" ", "\n", "é", "日", "er", "Th", "ation", "<|endoftext|>", "12", "!!", "'s"], k=random.randrange(40))) for _ in range(5000)]
-    assert list(one.encode(docs)) == list(other.encode(docs))
+    ids = list(one.encode(docs))
+    assert ids == list(other.encode(docs))
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [e.ids for e in plain.encode_batch(docs, add_special_tokens=False)]
+    assert np.frombuffer(next(one.encode(["x <|endoftext|> y"])), "<u4").tolist() == [87, 220, 50256, 331]
 
 
 def test_offsets_and_split_characters():

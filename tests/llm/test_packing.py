@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def checked(pieces, texts):
     tk = Tokenizer.from_file(PATH)
-    tk.encode_special_tokens = True
     whole = {i: np.array([*tk.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for i, t in texts.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -47,7 +46,7 @@ def test_pieces(spark, sf_dir):
 
 
 def test_edges(spark, frame):
-    rows = [(1, None), (2, ""), (3, "a b"), (4, "word and " * 9000), *((k, "x " * (k % 700)) for k in range(5, 300))]
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "word and " * 9000), (-1, "x <|endoftext|> y"), (-2, "<|endoftext|><|endoftext|> \n <|endoftext|>a"), *((k, "x " * (k % 700)) for k in range(5, 300))]
     from pyspark.sql import functions as F
 
     pieces = packing.pack(frame(rows).coalesce(1), PATH, block_tokens=3000).withColumn("ids_crc32", F.crc32("ids"))
