@@ -45,7 +45,7 @@ class Shapes(WordHashes):
     """Hashes of the shapes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self.hash(_RUNS.sub(rb"\1", word.translate(_KINDS))[:64], self.seed)
+        h = self.hash(_RUNS.sub(rb"\1", word.translate(_KINDS)), self.seed)
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -209,10 +209,10 @@ def remainder(column: str, of: int):
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Text and quality of the labelled documents that may be learned from. Labels
-    grow with the corpus, so both sides are shuffled at every size."""
+    """Text and quality of the labelled documents that may be learned from; Spark
+    picks the join by the size of the labels."""
     own = docs.filter(remainder("doc_id", 4) != 2).select("doc_id", "text")
-    return own.join(labels.select("doc_id", "quality").filter("quality is not null").hint("merge"), "doc_id")
+    return own.join(labels.select("doc_id", "quality").filter("quality is not null"), "doc_id")
 
 
 def op9_quality(spark, sf_dir) -> DataFrame:
