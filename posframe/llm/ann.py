@@ -23,9 +23,9 @@ of queries. All points are indexed, none is sampled.
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite
 components take no part, as queries or candidates; nor do rows with a null id.
 Equal products go by the smaller id. A query's own id is not its neighbour, in
-whatever rows it is; repeated rows are candidates of their own. Vectors of
-different lengths are an error. An empty table has no neighbours. Other columns
-are not read.
+whatever rows it is; repeated rows are candidates of their own. Vectors with
+another number of components than most of the data have take no part. An empty
+table has no neighbours. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -142,10 +142,10 @@ def search(data: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
     """query_id long, rank int, vec_id long, score double: the k of data nearest to each of queries."""
     own = lambda df: df.select(F.col(vec_id).cast("long").alias("__id"), F.col(vector).cast("array<double>").alias("__x")).filter(F.col("__id").isNotNull() & V.finite("__x") & F.exists("__x", lambda c: c != 0))
     data, queries = own(data), own(queries)
-    low, high, rows, norm2 = data.agg(F.min(F.size("__x")), F.max(F.size("__x")), F.count("*"), F.max(F.aggregate("__x", F.lit(0.0), lambda a, c: a + c * c))).first()
-    asked, least, most = queries.agg(F.count("*"), F.min(F.size("__x")), F.max(F.size("__x"))).first()
-    if rows and asked and len({low, high, least, most}) > 1:
-        raise ValueError(f"vectors have {min(low, least)} to {max(high, most)} components")
+    length = V.dimension(data, "__x")
+    data, queries = (df.filter(F.size("__x") == length) for df in (data, queries))
+    rows, norm2 = data.agg(F.count("*"), F.max(F.aggregate("__x", F.lit(0.0), lambda a, c: a + c * c))).first()
+    asked = queries.count()
     limit = chi_square_quantile(confidence, m)
     blocks, groups = max(1, -(-rows // block_rows)), max(1, -(-asked // query_rows))
     top = float(norm2 or 0)

@@ -18,6 +18,12 @@ def finite(column: str):
     return F.col(column).isNotNull() & (F.size(column) > 0) & ~bad
 
 
+def dimension(data: DataFrame, column: str) -> int:
+    """The number of components that most vectors have (the least of ties); 0 without vectors."""
+    found = data.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return found.d if found else 0
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The vectors of an Arrow list column as rows."""
     if isinstance(column, pa.ChunkedArray):

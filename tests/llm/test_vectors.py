@@ -72,8 +72,25 @@ def test_edges(spark, block, query):
         assert search(data.filter("false"), ask).count() == 0 and search(data, ask.filter("false")).count() == 0
         few = search(data.filter("vec_id in (1, 2, 20)"), data.filter("vec_id = 20"))
         assert [i for i, _ in got(few)[20]] and few.count() == 2
-        with pytest.raises(ValueError):
-            search(data.unionByName(spark.createDataFrame([(900, [1.0], "", 1)], data.schema)), ask)
+        odd = spark.createDataFrame([(900, [1.0], "", 1), (920, [1.0], "", 1), (40, [9.0, 9.0], "", 1)], data.schema)
+        both = search(data.unionByName(odd), ask.unionByName(odd.filter("vec_id % 20 = 0")).filter("vec_id <> 0"), block_rows=block)
+        assert got(both) == got(search(data, ask.filter("vec_id <> 0"), block_rows=block))
+
+
+@pytest.mark.parametrize("size", [8000.0, 1e12, 1e30])
+def test_large_components(spark, size):
+    """Products beyond 2**53 are exact, those beyond a long the nearest long."""
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=64) * size).astype(np.float32).tolist()) for k in range(80)]
+    rows.append((80, [x * (1 + 1e-7) for x in rows[20][1]]))
+    whole = {i: [max(-(2**63), min(2**63 - 1, math.floor(1024 * float(np.float32(x))))) for x in v] for i, v in rows}
+    clip = lambda n: max(1 - 2**63, min(2**63 - 1, n))
+    want = {}
+    for q in range(0, 80, 20):
+        s = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)
+        want[q] = [(i, -x) for x, i in s[:10]]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert got(vafile.search(data, data.filter("vec_id % 20 = 0 and vec_id < 80"), block_rows=30)) == want
 
 
 def test_chi_square_quantile():
