@@ -209,10 +209,10 @@ def remainder(column: str, of: int):
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Text and quality of the labelled documents that may be learned from; Spark
-    picks the join by the size of the labels."""
+    """Text and quality of the labelled documents that may be learned from. Labels
+    grow with the corpus: texts are shuffled, not sorted, and alike at every size."""
     own = docs.filter(remainder("doc_id", 4) != 2).select("doc_id", "text")
-    return own.join(labels.select("doc_id", "quality").filter("quality is not null"), "doc_id")
+    return own.join(labels.select("doc_id", "quality").filter("quality is not null").hint("shuffle_hash"), "doc_id")
 
 
 def op9_quality(spark, sf_dir) -> DataFrame:

@@ -17,8 +17,8 @@ not in one component yet: by size and by a sketch (the parities of the shingles
 512 cells: no more of them differ than shingles do; of long sets it says nothing).
 In a large bucket a class is paired with its `width` nearest by the sketch; classes
 with more are marked, and while there are such, the round is repeated for them, with
-eight times the width, over what is still apart. So pairs within a linked group are
-never listed, and no pair is left out at the end.
+eight times the width, over what is still apart and untested. So pairs within a
+linked group are never listed, and no pair is left out at the end.
 
 Each pair, of prints or of buckets, is then held against a wider sketch (two to four
 cells a shingle) before whole sets are read, for sets are the bulk of the work.
@@ -34,6 +34,8 @@ Extra columns stay as they are. Classes are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -344,31 +346,44 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     named = met.join(of.select(F.col("__fp").alias("a"), F.col("__r").alias("x")), "a").join(of.select(F.col("__fp").alias("b"), F.col("__r").alias("y")), "b")
     pairs = named.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
 
-    def linked(pairs):
-        """Verified pairs; only the sets of classes that are in a pair which passes are made."""
-        pairs = scratch.stored(_passing(pairs, one, similarity))
-        if pairs.isEmpty():
-            return pairs
+    def passing(pairs):
+        return scratch.stored(_passing(pairs, one, similarity))
+
+    made: list[DataFrame] = []  # the sets of classes, as they are needed
+
+    def verified(pairs):
+        """The links of pairs; only the sets of classes that are in a pair are made, and once."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("__c")).distinct()
-        # stored, so that its size is known when the join is planned
+        for x in made:
+            wanted = wanted.join(x.select("__c"), "__c", "left_anti")
         keys = scratch.stored(one.join(wanted, "__c", "left_semi").select("__c", F.col("__first.__key").alias("__key")))
-        some = keyed.select("__key", F.col(text).alias("__text")).join(keys, "__key").dropDuplicates(["__key"]).select("__c", "__text")
-        return scratch.stored(_verified(pairs, scratch.stored(_sets_of(some, k)), similarity))
+        if not made or not keys.isEmpty():
+            # texts are shuffled, not sorted, and alike at every size
+            some = keyed.select("__key", F.col(text).alias("__text")).join(keys.hint("shuffle_hash"), "__key").dropDuplicates(["__c"]).select("__c", "__text")
+            made.append(scratch.stored(_sets_of(some, k)))
+        return scratch.stored(_verified(pairs, reduce(DataFrame.unionByName, made), similarity))
 
     def rooted(links):
         roots = components(links, scratch=scratch).withColumnRenamed("node", "__c")
         return scratch.stored(one.select("__c", "__first").join(roots, "__c", "left").select("__c", "__first", F.coalesce("root", "__c").alias("__root")))
 
-    links = linked(pairs)
-    labelled = rooted(links)
-    # all pairs that no fingerprint, hub or least class of a fingerprint brought together
     shared = scratch.stored(_shared(one))
+    # pairs of prints that pass are taken for links to find what is apart beside them, and all are verified at once
+    pairs = passing(pairs)
+    late = _apart(shared, rooted(pairs), one, similarity, width, None).filter("a <> b")
+    tested = scratch.stored(pairs.unionByName(passing(late)).distinct())
+    links = verified(tested)
+    labelled = rooted(links)
+    # then all pairs that are still apart and weren't tested
     marked, more = None, True
-    while more and not (late := scratch.stored(_apart(shared, labelled, one, similarity, width, marked))).isEmpty():
+    while more:
+        late = scratch.stored(_apart(shared, labelled, one, similarity, width, marked))
         marked = late.filter("a = b").select(F.col("a").alias("__c"))
         more = not marked.isEmpty()
-        late = linked(late.filter("a <> b"))
+        late = passing(late.filter("a <> b").join(tested, ["a", "b"], "left_anti"))
         if not late.isEmpty():
+            tested = tested.unionByName(late)
+            late = verified(late)
             links = links.unionByName(late)
             labelled = rooted(links)
         width *= 8
@@ -376,5 +391,5 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     again = own.groupBy("__key").count().filter("count > 1").select("__key", F.lit(True).alias("__again"))
     stay = scratch.kept(stay.join(again, "__key", "left").select("__key", F.coalesce("__again", F.lit(False)).alias("__again")))
     # only texts of rows that occur again are shuffled to keep one of each
-    out = keyed.join(stay, "__key")
+    out = keyed.join(stay.hint("shuffle_hash"), "__key")
     return out.filter("not __again").select(docs.columns).unionByName(out.filter("__again").dropDuplicates(["__key"]).select(docs.columns))
