@@ -16,6 +16,9 @@ To extract, a page's folded stream is aligned with its host's wrapper, and the
 texts in main slots are its main text; parts that the wrapper does not know are
 judged by where they stand in the page.
 
+Copies of a page teach a wrapper no more than one of them. A name in class or id
+counts if it is the whole of a class or its last or first word (see chrome_class).
+
 A wrapper is fitted on the `sample_pages` pages of a host with the least hashes
 of id and url, chosen with a limit per task, so a hot host is no hot task. All
 pages are extracted, whole. Wrappers join pages by host; Spark broadcasts them
@@ -23,17 +26,19 @@ while they are small and splits hot hosts beyond that.
 
 Nulls and edges: null html is empty and gives an empty text. Pages without a url
 or host share a wrapper. Repeated rows are extracted alike. An empty table gives
-no rows. Very long pages are aligned as far as common beginnings and ends go,
-and by place between them. Other columns are not read.
+no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +47,8 @@ from posframe.llm.bpe import sliced
 from posframe.llm.common import stored, table
 
 SAMPLE_PAGES = 48
-_CELLS = 250_000
-_LONGEST_UNIT = 12
+#: Bits of an alignment's table; a larger one is halved first.
+_TABLE = 1 << 30
 
 # Fixed values of the format: names of elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -64,6 +69,13 @@ CHROME_WORDS = {
     "notices", "popup", "promo", "promoted", "related", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 OUTER_WORDS = {"header", "masthead", "search"}
+#: First words that turn the last one around, and last words that leave the first one its meaning.
+ABOUT = {"has", "have", "with", "without", "no", "non", "not", "is", "hide", "under", "below", "above", "after", "before", "beside"}
+HOLDERS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "column", "container", "content", "footer", "form", "group", "head", "header", "holder", "icon", "icons",
+    "inner", "item", "items", "label", "left", "link", "links", "list", "main", "message", "outer", "panel", "placeholder", "posts", "region", "right", "row", "section", "slot", "stories",
+    "text", "thread", "title", "toggle", "top", "unit", "wrap", "wrapper", "zone",
+}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|xmp|noframes)\b[^>]*+(?:>.*?(?:</\1\s*+>|\Z)|\Z)|<(/?[a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?[a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|([^<]++|<)",
@@ -73,6 +85,20 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|
 _WORD = re.compile(r"[a-z]+")
 
 
+def chrome_class(name: str) -> set[str]:
+    """The listed words that a class or id stands for: itself, the last of its words
+    (site-footer, but not has-sidebar), or the first one before words that only say
+    which part it is (sidebar-left, but not share-price)."""
+    parts = _WORD.findall(name)
+    listed = CHROME_WORDS | OUTER_WORDS
+    if not parts or parts[0] in ABOUT:
+        return set()
+    out = {parts[-1]} & listed
+    if all(x in HOLDERS or x in listed for x in parts[1:]):
+        out |= {parts[0]} & listed
+    return out
+
+
 class Page:
     """The tokens of a page: symbols of tags and texts ("#"); of each text its
     place among the tokens, block, standing and whether it is in a link."""
@@ -80,19 +106,26 @@ class Page:
     def __init__(self, source: str):
         self.symbols: list[str] = []
         self.texts: list[tuple[int, str, int, str, bool]] = []
-        stack: list[tuple[str, bool, bool, bool]] = []  # name, chrome, in the article or main, in a link
+        stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, chrome, in the article or main, in a link, hidden
         block, raw, opened = 0, [], Counter()
+        # where in the stack a p is open, and what keeps a block in it from closing it
+        ps, guards = [], []
+
+        def pop():
+            last = stack.pop()[0]
+            opened[last] -= 1
+            for places in (ps, guards):
+                if places and places[-1] == len(stack):
+                    places.pop()
+            return last
 
         def close(name):
-            while stack:
-                last = stack.pop()[0]
-                opened[last] -= 1
-                if last == name:
-                    break
+            while stack and pop() != name:
+                pass
 
         def text():
             if raw and (t := entities.unescape("".join(raw))).strip():
-                _, chrome, inner, link = stack[-1] if stack else ("", False, False, False)
+                _, chrome, inner, link, _ = stack[-1] if stack else ("", False, False, False, False)
                 self.texts.append((len(self.symbols), t, block, "chrome" if chrome else "inner" if inner else "outer", link))
                 self.symbols.append("#")
             elif raw and self.texts and self.texts[-1][2] == block:
@@ -100,7 +133,8 @@ class Page:
                 self.texts[-1] = (place, t + " ", b, standing, link)
             raw.clear()
 
-        for m in _TOKEN.finditer(source):
+        end = source.rfind(">") + 1  # no tag ends after it
+        for m in _TOKEN.finditer(source if source.rfind("<!--") >= end else source[:end]):
             if m[6] is not None:
                 raw.append(m[6])
                 continue
@@ -123,7 +157,7 @@ class Page:
             if name in VOID:
                 continue
             if name in BLOCK and name not in ("html", "body") and opened["p"]:
-                if not any(x[0] in ("button", "table", "object") for x in stack[max(i for i, x in enumerate(stack) if x[0] == "p") :]):
+                if not guards or guards[-1] < ps[-1]:
                     close("p")
             if name in ENDS:
                 for i in range(len(stack) - 1, -1, -1):
@@ -131,13 +165,23 @@ class Page:
                         break
                     if stack[i][0] in ENDS[name]:
                         while len(stack) > i:
-                            opened[stack.pop()[0]] -= 1
+                            pop()
                         break
-            _, chrome, inner, link = stack[-1] if stack else ("", False, False, False)
-            inner = inner or name in ("article", "main") or "main" in words and name != "body"
+            _, chrome, inner, link, _ = stack[-1] if stack else ("", False, False, False, False)
+            region = name in ("article", "main") or "main" in words and name != "body"
+            if region and not inner and not any(x[0] in CHROME or x[4] for x in stack):
+                # the article itself: classes of what holds it say nothing about it, nor its own, but for comments
+                words, chrome = words & {"comment", "comments"}, chrome and bool(words & {"comment", "comments"})
+            inner = inner or region
             chrome = chrome or hidden or name in CHROME or name != "body" and name != "html" and bool(words & CHROME_WORDS) or not inner and (name in OUTER_CHROME or name not in ("body", "html") and bool(words & OUTER_WORDS))
-            stack.append((name, chrome, inner, link or name == "a"))
+            if name == "p":
+                ps.append(len(stack))
+            elif name in ("button", "table", "object"):
+                guards.append(len(stack))
+            stack.append((name, chrome, inner, link or name == "a", hidden))
             opened[name] += 1
+        if source.rfind("<!--") < end:
+            raw.append(source[end:])
         text()
 
     @staticmethod
@@ -145,11 +189,20 @@ class Page:
         if not attributes.strip(" /\n\t"):
             return set(), False
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
-        words = set(_WORD.findall(" ".join(found.get(k, "") for k in ("class", "id")))) - {"main"}
+        words = set().union(*(chrome_class(x) for k in ("class", "id") for x in found.get(k, "").split()))
         words.update(_WORD.findall(found.get("role", "")))
         return words, "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
 
 
+def _codes(nodes) -> tuple[np.ndarray, list[int]]:
+    """Numbers of the symbols, and the distances from a symbol to where it is next."""
+    number: dict[str, int] = {}
+    codes = np.array([number.setdefault(n[0], len(number)) for n in nodes], dtype=np.int64)
+    order = np.argsort(codes, kind="stable")
+    step = np.diff(order)[codes[order][1:] == codes[order][:-1]]
+    return codes, [*map(int, np.unique(step[2 * step <= len(codes)]))]
+
+
 def fold(symbols: list[str], units: tuple[tuple[str, ...], ...] = ()) -> tuple[list[str], list[list[int]]]:
     """The stream with tandem repeats folded into one symbol "(a b)+", and for each
     symbol its slots, each the list of its texts' places. Known units are folded
@@ -175,7 +228,13 @@ def fold(symbols: list[str], units: tuple[tuple[str, ...], ...] = ()) -> tuple[l
             out.append((whole, slots))
         return out
 
-    for size in range(1, _LONGEST_UNIT + 1):
+    size, codes, gaps = 0, *_codes(nodes)
+    while size := next((g for g in gaps if g > size), 0):
+        # a unit that is repeated at once: as many equal symbols in a row at that distance
+        same = codes[size:] == codes[:-size]
+        runs = np.diff(np.flatnonzero(np.r_[True, ~same, True])) - 1
+        if runs.max(initial=0) < size:
+            continue
 
         def square(nodes, i, size=size):
             if i + size >= len(nodes) or nodes[i][0] != nodes[i + size][0]:
@@ -183,6 +242,7 @@ def fold(symbols: list[str], units: tuple[tuple[str, ...], ...] = ()) -> tuple[l
             return size if i + 2 * size <= len(nodes) and all(nodes[i + k][0] == nodes[i + size + k][0] for k in range(size)) else 0
 
         nodes = once(nodes, square)
+        codes, gaps = _codes(nodes)
     for unit in units:
 
         def known(nodes, i, unit=unit):
@@ -222,8 +282,7 @@ def units_in(symbols: list[str]) -> tuple[tuple[str, ...], ...]:
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of a longest common subsequence; of what is left between
-    common ends, if that is no more than a bounded table."""
+    """Pairs of places of a longest common subsequence."""
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
@@ -231,25 +290,53 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     out = [(i, i) for i in range(head)]
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if x and y and len(x) * len(y) <= _CELLS:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(len(y) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                out.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    out += [(head + i, head + j) for i, j in _common(a[head : len(a) - tail], b[head : len(b) - tail])]
     return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """Of each beginning of a, a bit for each symbol of b: 0 where the length of the
+    longest common subsequence grows."""
+    mask, at = (1 << len(b)) - 1, {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    row = mask
+    for x in a:
+        held = row & at.get(x, 0)
+        row = ((row + held) | (row - held)) & mask
+        yield row
+
+
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    if not x or not y:
+        return []
+    if len(x) * len(y) > _TABLE and len(x) > 1:
+        half = len(x) // 2
+
+        def lengths(rows):
+            *_, last = rows
+            bits_ = np.unpackbits(np.frombuffer(last.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+            return np.r_[0, np.cumsum(bits_ == 0)]
+
+        cut = int(np.argmax(lengths(_rows(x[:half], y)) + lengths(_rows(x[half:][::-1], y[::-1]))[::-1]))
+        return _common(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in _common(x[half:], y[cut:])]
+    rows, out, i, j = list(_rows(x, y)), [], len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
+def _shown(text: str) -> str:
+    """A text, a long one as its beginning and a digest of the whole."""
+    return text if len(text) <= 400 else f"{text[:360]} {hashlib.sha1(text.encode('utf-8', 'replace')).hexdigest()}"
+
+
 class Wrapper:
     """nodes: symbols in order; optional: which may be absent; slots: for each node
     and slot [pages, pages that have it as main, as chrome, in links, the text or None]."""
@@ -296,7 +383,7 @@ class Wrapper:
                 standing = [x[2] for x in own_texts]
                 chars = [len(x[0]) for x in own_texts]
                 links = sum(n for n, x in zip(chars, own_texts, strict=True) if x[3])
-                out.append([1, int(standing.count("inner") * 2 > len(standing)), int(standing.count("chrome") * 2 > len(standing)), int(links * 2 > sum(chars)), " ".join(" ".join(x[0].split()) for x in own_texts)[:400]])
+                out.append([1, int(standing.count("inner") * 2 > len(standing)), int(standing.count("chrome") * 2 > len(standing)), int(links * 2 > sum(chars)), _shown(" ".join(" ".join(x[0].split()) for x in own_texts))])
             return out
 
         pairs = align(self.nodes, symbols) if self.pages else []
@@ -337,7 +424,7 @@ class Wrapper:
         def main(pages, inner, chrome, links, same):
             if chrome * 2 > pages:
                 return False
-            return inner * 2 > pages if regions else not (links * 2 > pages or same is not None and pages >= 3)
+            return inner * 2 >= pages if regions else not (links * 2 > pages or same is not None and pages >= 3)
 
         return [[main(*s) for s in own] for own in self.slots]
 
@@ -354,21 +441,22 @@ class Wrapper:
 
 
 class Extractor:
-    """A wrapper as pages need it, with the labels of foldings it has met."""
+    """A wrapper as pages need it, with the alignments of tag streams it has met."""
 
     def __init__(self, dumped: str | None):
         self.nodes, self.labels, self.regions, units = json.loads(dumped) if dumped else ([], [], False, [])
         self.units = tuple(tuple(u) for u in units)
-        self.met: dict[tuple[str, ...], dict[int, int]] = {}
+        self.met: dict[tuple[str, ...], tuple[list, dict[int, int]]] = {}
 
     def text(self, source: str) -> str:
         page = Page(source)
-        symbols, slots = fold(page.symbols, self.units)
-        key = tuple(symbols)
-        if (matched := self.met.get(key)) is None:
-            matched = {j: i for i, j in align(self.nodes, symbols)}
-            if len(self.met) < 4096 and len(key) < 1000:
-                self.met[key] = matched
+        key = tuple(page.symbols)
+        if (met := self.met.get(key)) is None:
+            symbols, slots = fold(page.symbols, self.units)
+            met = slots, {j: i for i, j in align(self.nodes, symbols)}
+            if len(self.met) < 1024 and len(key) < 1000:
+                self.met[key] = met
+        slots, matched = met
         regions = any(x[3] == "inner" for x in page.texts)
         label: dict[int, bool] = {}
         for j, own in enumerate(slots):
@@ -397,7 +485,7 @@ def infer(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         made = Wrapper()
         rows = sorted(zip(t.column("__order").to_pylist(), t.column("__html").to_pylist(), strict=True))
-        for _, source in rows:
+        for source in dict.fromkeys(source for _, source in rows):
             made.learn(Page(source))
         return pa.table({"__host": [t.column("__host")[0].as_py()], "__wrapper": [made.dumps()]})
 

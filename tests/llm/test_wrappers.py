@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from posframe.llm import wrappers
 from posframe.llm.common import table
 
@@ -65,3 +67,62 @@ def test_edges(spark):
     by = dict(out)
     assert by[1] == by[2] == "" and by[None] == "a b" and by[4] == "\n".join(["w"] * 50000) and by[5] == "x"
     assert wrappers.extract(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<div class="has-sidebar"><article class="comments-open post"><p>x</p></article></div>', "x"), ('<main class="ad-free">x</main>', "x"), ('<div class="sidebar"><article>x</article></div>', "x"),
+    ('<article><p class="share-price">p</p><h2 id="social-history">h</h2><div class="share-buttons">no</div><div class="comment-list">no</div></article>', "p\nh"),
+    ('<main>x</main><section class="comments"><article class="comment">no</article></section>', "x"), ("<aside><article>no</article></aside><main>x</main>", "x"), ("a <b", "a <b"), ("x > y <!-- c", "x > y"),
+])
+def test_classes(html, text):
+    made = wrappers.Wrapper()
+    made.learn(wrappers.Page(html))
+    assert wrappers.Extractor(made.dumps()).text(html) == text
+
+
+def test_wrapper_decides_without_regions(spark):
+    """On a host without article or main, what stays the same over pages goes, however long
+    and wherever it stands, and long texts that differ at their ends only stay."""
+    shared = "the same words on each page " * 40
+    rows = [(k, f"http://h.example/{k}", f"<body><div><p>{shared}</p><p>{'long beginning ' * 60}{k}</p><p>own {k}</p></div></body>") for k in range(6)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in out:
+        assert r.text == f"{'long beginning ' * 60}{r.page_id}\nown {r.page_id}"
+    # copies of one page say nothing about what is constant
+    rows = [(k, "http://h.example/", "<body><p>only text</p></body>") for k in range(6)]
+    assert {r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"only text"}
+
+
+def test_alignment_is_a_longest_one(monkeypatch):
+    import random
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(row[-1], before[j + 1]))
+        return row[-1]
+
+    for table in (1 << 30, 50):
+        monkeypatch.setattr(wrappers, "_TABLE", table)
+        for seed in range(200):
+            random.seed(seed)
+            a, b = (random.choices("abcd", k=random.randrange(40)) for _ in range(2))
+            pairs = wrappers.align(a, b)
+            assert len(pairs) == length(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
+def test_long_units_are_folded():
+    unit = [f"<x{k}" for k in range(30)]
+    assert wrappers.fold(["<a", *unit * 4, "</a"])[0] == ["<a", "(" + " ".join(unit) + ")+", "</a"]
+
+
+@pytest.mark.parametrize("part", ['<a "', "<p><table>", "<li><b>", "<td>", "<!"])
+def test_malformed_pages_take_linear_time(part):
+    import time
+
+    start = time.time()
+    wrappers.Page(part * 40000)
+    assert time.time() - start < 10
