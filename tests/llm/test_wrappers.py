@@ -83,11 +83,11 @@ def test_classes(html, text):
 def test_wrapper_decides_without_regions(spark):
     """On a host without article or main, what stays the same over pages goes, however long
     and wherever it stands, and long texts that differ at their ends only stay."""
-    shared = "the same words on each page " * 40
-    rows = [(k, f"http://h.example/{k}", f"<body><div><p>{shared}</p><p>{'long beginning ' * 60}{k}</p><p>own {k}</p></div></body>") for k in range(6)]
+    shared, long_ = "the same words on each page " * 40, "long beginning " * 60
+    rows = [(k, f"http://h.example/{k}", f"<body><div><b>{shared}</b></div><h2>{long_}{k}</h2><p>own {k}</p></body>") for k in range(6)]
     out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     for r in out:
-        assert r.text == f"{'long beginning ' * 60}{r.page_id}\nown {r.page_id}"
+        assert r.text == f"{long_}{r.page_id}\nown {r.page_id}"
     # copies of one page say nothing about what is constant
     rows = [(k, "http://h.example/", "<body><p>only text</p></body>") for k in range(6)]
     assert {r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"only text"}
