@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posframe.functions import features as X
@@ -15,11 +15,20 @@ def at(pos: DataFrame, idx: int) -> DataFrame:
     return pos.filter(F.col("idx") == idx)
 
 
+def six_digits(x: Column) -> Column:
+    """A number between 0.0001 and 99999 (or 0) with six significant digits, without zeros at the end."""
+    size = F.abs(x)
+    shown = F.format_string("%.9f", x)
+    for least, places in ((1e-3, 8), (1e-2, 7), (0.1, 6), (1.0, 5), (10.0, 4), (100.0, 3), (1000.0, 2), (10000.0, 1)):
+        shown = F.when(size >= least, F.format_string(f"%.{places}f", x)).otherwise(shown)
+    return F.regexp_replace(shown, r"\.?0+$", "")
+
+
 def dump(pos: DataFrame, start: int = 0, end: int = 5) -> DataFrame:
     """idx and a line of text of the rows start..end-1, in order."""
     if start > end:
         raise ValueError(f"bad range {start}:{end}")
-    line = F.format_string("[%d] stm=%d pc=%d wdl=%d raw=%d features=[%s]", "idx", F.col("stm").cast("int"), F.col("piece_count").cast("int"), F.col("wdl").cast("int"), F.col("eval_raw").cast("int"), X.as_text(F.col("features")))
+    line = F.format_string("[%d] stm=%d pc=%d wdl=%d eval=%s features=[%s]", "idx", F.col("stm").cast("int"), F.col("piece_count").cast("int"), F.col("wdl").cast("int"), six_digits(F.col("eval_norm").cast("double")), X.as_text(F.col("features")))
     return pos.filter(F.col("idx").between(start, end - 1)).orderBy("idx").select("idx", line.alias("line"))
 
 

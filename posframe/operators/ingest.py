@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posframe import schema as S
 from posframe.functions import features as X
+from posframe.sources.folders import shared_dir
 
 
 def reason(filters: bool = True, max_feature_id: int = S.MAX_FEATURE_ID) -> Column:
@@ -43,15 +44,22 @@ def dense_index(df: DataFrame, order: str, name: str = "idx") -> DataFrame:
     partitioned and numbered inside; each partition's base is the sum of the counts
     before it, a table with a row per partition. No task sees all rows. The ranges
     are checkpointed, so counts and numbers are of the same ones."""
-    import tempfile
-
     from pyspark.sql import Window
 
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="posframe-"))
+    shared_dir(df.sparkSession)
     spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).checkpoint()
     sizes = spread.groupBy("__p").agg(F.count("*").alias("n"))
     base = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("base"))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
     return spread.withColumn("__l", local).join(base, "__p").withColumn(name, (F.col("base") + F.col("__l")).cast("long")).drop("__p", "__l", "base")
+
+
+def first_rejected(raw: DataFrame, most: int = 5, filters: bool = True, max_feature_id: int = S.MAX_FEATURE_ID) -> DataFrame:
+    """idx and why of the first `most` rejected rows in order: which rule of an input row is
+    broken first. A bounded top-n per task."""
+    parts = [
+        (~F.col("stm").isin(0, 1), "stm"), (~F.col("piece_count").between(S.COUNT_BASE, S.MAX_COUNT), "piece_count"), (F.size("features") != F.col("piece_count"), "features.size"),
+        (~X.all_below(F.col("features"), max_feature_id), "feature id"), (~F.col("wdl").isin(-1, 0, 1), "wdl"),
+    ]
+    why = F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), name) for broken, name in parts])
+    return raw.filter(reason(filters, max_feature_id) == "rejected").orderBy("idx").limit(most).select("idx", why.alias("why"))

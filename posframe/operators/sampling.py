@@ -42,6 +42,20 @@ def index_checks(index: DataFrame, n: int) -> DataFrame:
     return out.withColumn("ok", (F.col("rows") > 0) & (F.col("below") == 0) & (F.col("above") == 0) & (F.col("duplicates") == 0))
 
 
+def not_increasing(index: DataFrame) -> DataFrame:
+    """place, idx, before: the entries of an index set (place, idx) that are not above the one before."""
+    before = index.select((F.col("place") + 1).alias("place"), F.col("idx").alias("before"))
+    return index.join(before, "place").filter("idx <= before").select("place", "idx", "before")
+
+
+def permuted(df: DataFrame, seed: int, idx: str = "idx", name: str = "place") -> DataFrame:
+    """df with its place in a seeded permutation of all rows. The hash is a bijection of
+    32-bit numbers, so it orders up to 2**32 dense rows; no task sees all of them."""
+    from posframe.operators.ingest import dense_index
+
+    return dense_index(df.withColumn("__mixed", mixed(F.col(idx), seed)), "__mixed", name).drop("__mixed")
+
+
 def excluded(pos: DataFrame, val: DataFrame) -> DataFrame:
     """Training rows: all but the validation set. Spark broadcasts it while it is small."""
     return pos.join(val.select("idx"), "idx", "left_anti")
@@ -65,11 +79,12 @@ def chunk_order(chunks: DataFrame, seed: int, workers: int) -> DataFrame:
     return chunks.select("chunk_id").distinct().withColumn("place", place).withColumn("worker", F.col("place") % workers)
 
 
-def epoch_batches(df: DataFrame, chunk: int, batch: int, seed: int, epoch: int, workers: int, drop_last: bool = True, budget: int | None = None) -> DataFrame:
+def epoch_batches(df: DataFrame, chunk: int, batch: int, seed: int, epoch: int, workers: int, drop_last: bool = True, budget: int | None = None, max_batches: int | None = None) -> DataFrame:
     """idx, worker, batch_id, pos: each worker's chunks one after the other, cut into
     batches that go on across the borders of chunks. Places of a worker's rows come
     from the sizes of its chunks, so no task orders more than a chunk. The last,
-    shorter batch goes with drop_last; budget: rows an epoch, shared out to workers."""
+    shorter batch goes with drop_last; budget: rows an epoch, shared out to workers;
+    max_batches: the most batches of a worker."""
     shuffled = chunk_shuffled(df.select("idx"), chunk, seed, epoch)
     sizes = shuffled.groupBy("chunk_id").agg(F.count("*").alias("n"))
     order = chunk_order(sizes, seed + epoch * EPOCH_STEP, workers).join(sizes, "chunk_id")
@@ -79,6 +94,8 @@ def epoch_batches(df: DataFrame, chunk: int, batch: int, seed: int, epoch: int,
     end = F.col("whole") if budget is None else F.least(F.col("whole"), F.ceil(F.lit(budget // workers) / batch) * batch)
     if drop_last:
         end = F.floor(end / batch) * batch
+    if max_batches is not None:
+        end = F.least(end, F.lit(max_batches * batch))
     return out.filter(F.col("at") < end).select("idx", F.col("worker").cast("int").alias("worker"), F.floor(F.col("at") / batch).cast("long").alias("batch_id"), (F.col("at") % batch).cast("int").alias("pos"))
 
 
@@ -104,11 +121,17 @@ def batch_offsets(batches: DataFrame, pos: DataFrame) -> DataFrame:
     return own.select("worker", "batch_id", "pos", "idx", (F.sum("piece_count").over(w) - F.col("piece_count")).cast("long").alias("start"))
 
 
-def concatenated(parts: list[DataFrame]) -> DataFrame:
-    """The parts one after the other: idx goes on, file says which. Bases come from counts."""
-    sizes = [p.count() for p in parts]
-    out = None
+def concatenated(parts: list[DataFrame], max_rows: int | None = None, split: str = "train") -> DataFrame:
+    """The parts one after the other: idx goes on, file says which. Bases come from
+    counts; of parts beyond max_rows in all only the first rows (by idx) are taken.
+    split is train or val; both take the same rows, for a part is a split of its own."""
+    if split not in ("train", "val"):
+        raise ValueError(f"split is train or val, not {split!r}")
+    out, base = None, 0
     for k, p in enumerate(parts):
-        own = p.withColumn("idx", (F.col("idx") + sum(sizes[:k])).cast("long")).withColumn("file", F.lit(k))
+        n = p.count()
+        take = n if max_rows is None else max(0, min(n, max_rows - base))
+        own = p.filter(F.col("idx") < take).withColumn("idx", (F.col("idx") + base).cast("long")).withColumn("file", F.lit(k))
         out = own if out is None else out.unionByName(own)
+        base += take
     return out

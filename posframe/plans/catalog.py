@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from posframe.functions import codecs as C
 from posframe.functions import features as X
 from posframe.functions import schedules
-from posframe.operators import access, blocks, ingest, metrics, profile, sampling, validate
+from posframe.operators import access, blocks, ingest, metrics, profile, sampling, scoring, validate
 from posframe.sources import positions as P
 
 QUERIES: dict = {}
@@ -259,7 +259,7 @@ def phase_wdl(spark, d):
     return P.positions(spark, d).groupBy(C.phase(F.col("piece_count")).alias("phase"), F.col("wdl").cast("int").alias("wdl")).agg(F.count("*").alias("n"))
 
 
-_LINE = f"printf('[%d] stm=%d pc=%d wdl=%d raw=%d features=[%s]', idx, stm, piece_count, wdl, eval_raw, {_JOIN.format('features')})"
+_LINE = f"printf('[%d] stm=%d pc=%d wdl=%d eval=%s features=[%s]', idx, stm, piece_count, wdl, printf('%g', (eval_raw::FLOAT / 3000::FLOAT)::DOUBLE), {_JOIN.format('features')})"
 
 
 @query("range_dump", f"SELECT idx, {_LINE} AS line FROM pos WHERE idx BETWEEN 100 AND 299 ORDER BY idx")
@@ -512,10 +512,42 @@ def saturation(spark, d):
     return metrics.saturation(e.select(C.quantise(F.col("x").cast("double"), 500.0, 127).alias("q")), "q").select(F.round("saturated_pct", 6).alias("saturated_pct"))
 
 
-@query("feature_bag_sum", "SELECT idx, round(sum(w), 4) AS bag FROM (SELECT idx, unnest(features) AS f FROM pos) JOIN (SELECT vec_id AS f, embedding[1]::DOUBLE AS w FROM embeddings) USING (f) GROUP BY idx")
+_SUMS = """w AS (SELECT vec_id AS f, embedding::DOUBLE[] AS w FROM embeddings),
+sums AS (SELECT idx, side, j, sum(w[j]) AS s FROM (SELECT idx, side, unnest(fs) AS f FROM ({})) JOIN w USING (f) CROSS JOIN (SELECT range AS j FROM range(1, 65)) GROUP BY ALL)"""
+_BAG = POS + ", " + _SUMS.format("SELECT idx, 0 AS side, features AS fs FROM pos")
+
+
+def _vectors(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("f"), F.col("embedding").cast("array<double>").alias("w"))
+
+
+@query("feature_bag_sum", "SELECT idx, array_to_string(list(printf('%.4f', round(coalesce(s, 0), 4) + 0.0) ORDER BY j), ' ') AS bag FROM (SELECT idx, j, s FROM pos CROSS JOIN (SELECT range AS j FROM range(1, 65)) LEFT JOIN sums USING (idx, j) WHERE idx % 10 = 0) GROUP BY idx", _BAG)
 def feature_bag_sum(spark, d):
-    w = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("f"), F.col("embedding")[0].cast("double").alias("w"))
-    return P.positions(spark, d).select("idx", F.explode(F.col("features").cast("array<long>")).alias("f")).join(w, "f").groupBy("idx").agg(F.round(F.sum("w"), 4).alias("bag"))
+    sums = scoring.bag_sums(P.positions(spark, d).filter("idx % 10 = 0"), _vectors(spark, d), 64)
+    return sums.select("idx", F.array_join(F.transform("acc", lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), " ").alias("bag"))
+
+
+def _head(spark, d) -> scoring.Head:
+    rows = {r.vec_id: list(map(float, r.embedding)) for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id < 32").collect()}
+    return scoring.Head([rows[r] + rows[r + 8] for r in range(8)], [rows[16 + b][:8] for b in range(8)], rows[24][:8], rows[25][:8], rows[26])
+
+
+_FORWARD = POS + ", " + _SUMS.format(f"SELECT idx, 0 AS side, CASE WHEN stm = 1 THEN list_transform(features, lambda f: {_FLIP}) ELSE features END AS fs FROM pos UNION ALL SELECT idx, 1, CASE WHEN stm = 1 THEN features ELSE list_transform(features, lambda f: {_FLIP}) END FROM pos") + """,
+unit AS (SELECT idx, side, j, power(least(greatest(coalesce(s, 0) + b.w[j], 0), 1), 2) AS x FROM pos CROSS JOIN (VALUES (0), (1)) v(side) CROSS JOIN (SELECT range AS j FROM range(1, 65)) LEFT JOIN sums USING (idx, side, j) CROSS JOIN (SELECT w FROM w WHERE f = 26) b),
+hid AS (SELECT idx, r, power(least(greatest(sum(x * h.w[j]) + any_value(b.w[r + 1]), 0), 1), 2) AS x FROM unit JOIN (SELECT f % 8 AS r, f // 8 AS side, w FROM w WHERE f < 16) h USING (side) CROSS JOIN (SELECT w FROM w WHERE f = 24) b GROUP BY idx, r),
+fwd AS (SELECT idx, any_value(bucket) AS bucket, sum(x * o.w[r + 1]) + any_value(b.w[bucket + 1]) AS out FROM hid JOIN (SELECT idx, least(greatest((piece_count - 2) // 4, 0), 7)::INT AS bucket FROM pos) USING (idx) JOIN (SELECT f - 16 AS bucket, w FROM w WHERE f BETWEEN 16 AND 23) o USING (bucket) CROSS JOIN (SELECT w FROM w WHERE f = 25) b GROUP BY idx)"""
+
+
+@query("forward_pass", "SELECT idx, bucket, round(out, 6) AS out FROM fwd", _FORWARD)
+def forward_pass(spark, d):
+    """The vectors of embeddings serve as weights; those of features beyond its rows are zero."""
+    return scoring.forward(P.positions(spark, d), _vectors(spark, d), _head(spark, d)).withColumn("out", F.round("out", 6))
+
+
+@query("fen_scores")
+def fen_scores(spark, d):
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(FENS)], "idx long, fen string")
+    return scoring.sanity(P.from_fen(df), _vectors(spark, d), _head(spark, d)).withColumn("out", F.round("out", 6))
 
 
 @query("anomalies", "SELECT idx, CASE WHEN wdl = 0 AND abs(e) > 4.5 THEN 'decided draw' WHEN wdl <> 0 AND abs(e) < 0.5 THEN 'even win' WHEN wdl * (CASE WHEN stm = 1 THEN -e ELSE e END) < 0 THEN 'sign' END AS kind FROM (SELECT *, eval_raw::DOUBLE / 3000 AS e FROM pos) WHERE kind IS NOT NULL")
@@ -540,18 +572,118 @@ def fen_features(spark, d):
     return out.select("k", "stm", "piece_count", X.as_text(F.col("features")).alias("white"), X.as_text(F.col("features_black")).alias("black"))
 
 
-@query("container_roundtrip", "SELECT idx, flags, eval_raw, wdl, stm, piece_count, " + _JOIN.format("features") + " AS features FROM pos")
-def container_roundtrip(spark, d):
+def _folder(spark) -> str:
+    """A new folder that all executors have mounted: files are written there by path."""
     import os
-    import tempfile
     import uuid
-    from urllib.parse import urlparse
 
+    from posframe.sources.folders import shared_dir
+
+    named = shared_dir(spark)
+    if "://" in named and not named.startswith("file://"):
+        raise ValueError(f"{named} is no folder of a mounted file system")
+    path = f"{named.removeprefix('file://').removeprefix('file:')}/files-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+@query("container_roundtrip", "SELECT idx, flags, eval_raw, wdl, stm, piece_count, " + _JOIN.format("features") + " AS features FROM pos")
+def container_roundtrip(spark, d):
     from posframe.sources import container
 
-    # the container is a file on a folder that all executors have mounted
-    named = urlparse(spark.sparkContext.getConf().get("spark.checkpoint.dir", "")).path or tempfile.mkdtemp(prefix="posframe-")
-    os.makedirs(named, exist_ok=True)
-    path = f"{named}/container-{uuid.uuid4().hex}.bin"
+    path = f"{_folder(spark)}/container.bin"
     container.write(P.positions(spark, d), path, overwrite=True)
     return _ints(container.read(spark, path).select("idx", "flags", "eval_raw", "wdl", "stm", "piece_count", X.as_text(F.col("features")).alias("features")), "flags", "eval_raw", "wdl", "stm", "piece_count")
+
+
+@query("index_file_roundtrip", "SELECT idx FROM pos WHERE idx % 7 = 3", POS)
+def index_file_roundtrip(spark, d):
+    from posframe.sources import index_files
+
+    n = P.positions(spark, d).count()
+    path = index_files.write(list(range(3, n, 7)), n, _folder(spark), seed=1)
+    return index_files.read(spark, path, n)
+
+
+_SIZES = (7, 999, 1000, 12345, 500_000, 1_000_000, 1_500_000, 2_000_000, 1_234_567)
+
+
+@query("size_labels", f"SELECT n::BIGINT AS n, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n >= 1000000 AND n % 1000000 = 0 THEN (n // 1000000)::VARCHAR || 'M' ELSE (n // 1000)::VARCHAR || 'k' END AS label FROM (VALUES {', '.join(f'({n})' for n in _SIZES)}) t(n)", None)
+def size_labels(spark, d):
+    from posframe.sources import index_files
+
+    return spark.createDataFrame([(n, index_files.size_label(n)) for n in _SIZES], "n long, label string")
+
+
+@query("index_not_increasing", "SELECT place, idx, before FROM (SELECT idx AS place, idx * 37 % 101 AS idx, lag(idx * 37 % 101) OVER (ORDER BY pos.idx) AS before FROM pos) WHERE idx <= before", POS)
+def index_not_increasing(spark, d):
+    i = F.col("idx")
+    return sampling.not_increasing(P.positions(spark, d).select(i.alias("place"), (i * 37 % 101).alias("idx")))
+
+
+@query("global_permutation", "SELECT idx, (row_number() OVER (ORDER BY (idx * 2654435761 + 5) % 4294967296) - 1)::BIGINT AS place FROM pos")
+def global_permutation(spark, d):
+    return sampling.permuted(P.positions(spark, d).select("idx"), 5)
+
+
+@query("max_batches", "SELECT idx, worker, batch_id, pos FROM bt WHERE batch_id < 2", _EPOCH)
+def max_batches(spark, d):
+    return sampling.epoch_batches(P.positions(spark, d), 512, 96, 9, 1, 3, max_batches=2)
+
+
+@query("multi_file_cap", "SELECT k::INT AS file, (idx + k * n)::BIGINT AS idx, eval_raw FROM pos CROSS JOIN (SELECT count(*) AS n FROM pos) CROSS JOIN (VALUES (0), (1), (2)) t(k) WHERE idx + k * n < 3 * n // 2")
+def multi_file_cap(spark, d):
+    p = P.positions(spark, d).select("idx", "eval_raw")
+    return _ints(sampling.concatenated([p, p, p], 3 * p.count() // 2).select("file", "idx", "eval_raw"), "file", "eval_raw")
+
+
+@query("decode_evals", "SELECT idx, round((eval_raw::FLOAT * (1::FLOAT / 3000::FLOAT)::FLOAT)::DOUBLE, 9) AS eval_norm FROM pos")
+def decode_evals(spark, d):
+    return P.positions(spark, d).select("idx", F.round(C.decode_evals(F.col("eval_raw")).cast("double"), 9).alias("eval_norm"))
+
+
+@query("rejected_rows", "SELECT idx, CASE WHEN idx % 40 = 1 THEN 'stm' WHEN idx % 40 = 2 THEN 'features.size' ELSE 'wdl' END AS why FROM raw WHERE idx % 40 IN (1, 2, 3) AND NOT is_capture AND NOT in_check ORDER BY idx LIMIT 5", RAW)
+def rejected_rows(spark, d):
+    r = F.col("idx") % 40
+    df = P.events_raw(spark, d).withColumn("stm", F.when(r == 1, 2).otherwise(F.col("stm"))).withColumn("wdl", F.when(r == 3, 5).otherwise(F.col("wdl")))
+    return ingest.first_rejected(df.withColumn("features", F.when(r == 2, F.slice("features", F.lit(1), F.size("features") - 1)).otherwise(F.col("features"))))
+
+
+#: Block indexes of blocks of four rows, each with one broken rule, and the violations.
+_BROKEN_BLOCKS = {
+    "prefix_length": ([(0, 0, [0, 2, 4, 6])], 6, [(0, 4)]), "first_anchor": ([(0, 3, [0, 2, 4, 6, 8])], 11, [(0, 3)]), "anchor_recurrence": ([(0, 0, [0, 2, 4, 6, 8]), (1, 9, [0, 2, 2, 2, 2])], 11, [(0, 9)]),
+    "prefix_first": ([(0, 0, [1, 2, 4, 6, 8])], 8, [(0, 1)]), "prefix_monotone": ([(0, 0, [0, 2, 6, 4, 8])], 8, [(0, 8)]), "prefix_end": ([(0, 0, [0, 2, 4, 6, 200])], 200, [(0, 200)]),
+    "last_block_padding": ([(0, 0, [0, 2, 4, 6, 8]), (1, 8, [0, 2, 4, 4, 5])], 13, [(1, 5)]), "feature_total": ([(0, 0, [0, 2, 4, 6, 8])], 9, [(0, 8)]),
+}
+
+
+@query("violations_blocks", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', 'blocks', {i}::BIGINT, {seen}::BIGINT)" for r, (_, _, found) in _BROKEN_BLOCKS.items() for i, seen in found) + ") t(rule, scope, idx, observed)", None)
+def violations_blocks(spark, d):
+    out = None
+    for rule, (rows, total, _) in _BROKEN_BLOCKS.items():
+        t = spark.createDataFrame(rows, "block_id long, anchor long, prefix array<int>")
+        found = validate.block_violations(t, total, size=4, max_count=32, last_rows=2 if rule == "last_block_padding" else None)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: A header's field, a value that it may not have, and the rule that tells.
+_BROKEN_HEADERS = [
+    ("version", 1, "version"), ("header_size", 128, "header_size"), ("endian", 1, "endian"), ("layout_kind", 1, "layout_kind"), ("feature_set", 9, "feature_set"), ("count_semantics", 1, "count_semantics"),
+    ("eval_encoding", 0, "eval_encoding"), ("mate_encoding", 2, "mate_encoding"), ("flags_encoding", 1, "flags_encoding"), ("reserved15", 1, "reserved15"), ("shard_id", 1, "shard_id"), ("num_shards", 2, "num_shards"),
+    ("global_position_start", 1, "global_position_start"), ("block_size", 512, "block_size"), ("max_count", 31, "max_count"), ("count_base", 1, "count_base"), ("has_eval_global", 0, "has_eval_global"),
+    ("has_wdl_global", 0, "has_wdl_global"), ("header_flags", 1, "header_flags"), ("reserved76", 1, "reserved76"), ("fixed_scale", 0.0, "fixed_scale"), ("normal_eval_clip", -1.0, "normal_eval_clip"),
+    ("storage_target_clip", 0.0, "storage_target_clip"), ("num_positions", 0, "num_positions"), ("num_blocks", 0, "num_blocks"), ("num_blocks", 5, "block_count"), ("fixed_scale", 4000.0, "eval_range"),
+    ("eval_offset", 10257, "eval_alignment"), ("flags_offset", 8, "flags_offset"), ("metadata_offset", 1 << 40, "metadata_range"), ("metadata_length", 1 << 40, "metadata_range"), ("num_features_total", 1 << 40, "w_flat_overlap"),
+]
+
+
+@query("violations_header", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {float(v)!r}::DOUBLE, '{r}')" for f, v, r in _BROKEN_HEADERS) + ") t(field, value, rule)", None)
+def violations_header(spark, d):
+    from posframe.sources import container
+
+    n, features = 10_000, 169_212
+    good = container.WriteOptions().header(n, features)
+    size = good["metadata_offset"] + good["metadata_length"]
+    rows = [(f, float(v), container.header_violations(good | {f: v}, size)[0]) for f, v, _ in _BROKEN_HEADERS]
+    return spark.createDataFrame(rows, "field string, value double, rule string")

@@ -120,6 +120,15 @@ class WriteOptions:
     max_bytes: int = 0
     extra: dict = field(default_factory=dict)
 
+    @classmethod
+    def of(cls, options) -> WriteOptions:
+        """The options of a writer, whose names come in lower case and whose values as text."""
+        kinds = {"metadata": str, "max_feature_id": int, "feature_set": int, "mate_encoding": int, "fixed_scale": float, "normal_eval_clip": float, "storage_target_clip": float, "max_bytes": int, "validate": lambda x: str(x).lower() == "true"}
+        given = {k.lower(): v for k, v in dict(options).items()}
+        if unknown := given.keys() - kinds.keys() - {"path"}:
+            raise S.WriteError(f"unknown options {sorted(unknown)}")
+        return cls(**{k: kinds[k](v) for k, v in given.items() if k in kinds})
+
     def __post_init__(self):
         if self.feature_set != 1:
             raise S.WriteError("only feature set 1 is written")
@@ -246,7 +255,7 @@ class PositionWriter(DataSourceArrowWriter):
 
     def __init__(self, options, overwrite):
         self.path, self.overwrite = options["path"], overwrite
-        self.options = WriteOptions(metadata=options.get("metadata", ""), max_feature_id=int(options.get("max_feature_id", S.MAX_FEATURE_ID)), max_bytes=int(options.get("max_bytes", 0)))
+        self.options = WriteOptions.of(options)
         if os.path.exists(self.path) and not overwrite:
             raise S.WriteError(f"{self.path} exists")
         self.folder = f"{self.path}.{uuid.uuid4().hex}"
@@ -374,10 +383,13 @@ def read(spark: SparkSession, path: str, validate: str = "full", **options) -> D
 
 def write(pos: DataFrame, path: str, overwrite: bool = False, **options) -> None:
     """Writes positions with idx 0, 1, ... as a container on a folder that all executors
-    share. Rows are range-partitioned by idx, so a task has one run of them."""
+    share. Rows are range-partitioned by idx, so a task has one run of them. Options are
+    those of WriteOptions; unless validate is false, the file is checked after the write."""
     register(pos.sparkSession)
     ordered = pos.select("idx", "flags", "eval_raw", "wdl", "features").repartitionByRange("idx").sortWithinPartitions("idx")
     ordered.write.format("positions").options(path=path, **{k: str(v) for k, v in options.items()}).mode("overwrite" if overwrite else "append").save()
+    if WriteOptions.of(options).validate:
+        check(pos.sparkSession, path)
 
 
 def header_frame(spark: SparkSession, path: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_read(spark, path):
     assert K.read(spark, path, columns="idx,wdl", validate="header").columns == ["idx", "wdl"]
     assert K.header_frame(spark, path).first().num_positions == 4
     lines = [r.line for r in access.dump(K.read(spark, path), 0, 2).collect()]
-    assert lines[0] == "[0] stm=0 pc=4 wdl=1 raw=750 features=[1,2,3,4]"
+    assert lines[0] == "[0] stm=0 pc=4 wdl=1 eval=0.25 features=[1,2,3,4]"
     assert {r.name: r.value for r in K.inspect(spark, path).collect()}["wdl 1"] == "2 (50.00%)"
 
 
