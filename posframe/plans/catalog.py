@@ -521,9 +521,9 @@ def _vectors(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("f"), F.col("embedding").cast("array<double>").alias("w"))
 
 
-@query("feature_bag_sum", "SELECT idx, array_to_string(list(printf('%.4f', round(coalesce(s, 0), 4) + 0.0) ORDER BY j), ' ') AS bag FROM (SELECT idx, j, s FROM pos CROSS JOIN (SELECT range AS j FROM range(1, 65)) LEFT JOIN sums USING (idx, j) WHERE idx % 10 = 0) GROUP BY idx", _BAG)
+@query("feature_bag_sum", "SELECT idx, array_to_string(list(printf('%.4f', round(coalesce(s, 0), 4) + 0.0) ORDER BY j), ' ') AS bag FROM (SELECT idx, j, s FROM pos CROSS JOIN (SELECT range AS j FROM range(1, 65)) LEFT JOIN sums USING (idx, j)) GROUP BY idx", _BAG)
 def feature_bag_sum(spark, d):
-    sums = scoring.bag_sums(P.positions(spark, d).filter("idx % 10 = 0"), _vectors(spark, d), 64)
+    sums = scoring.bag_sums(P.positions(spark, d), _vectors(spark, d), 64)
     return sums.select("idx", F.array_join(F.transform("acc", lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), " ").alias("bag"))
 
 
