@@ -61,6 +61,27 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return Scratch(df.sparkSession).stored(df, codec)
 
 
+#: Words of 64 bits in a map of keys: no more rows than this are broadcast, however many keys there are.
+MAP_WORDS = 1 << 19
+
+
+def meeting(df: DataFrame, column: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose `column` may be in the only column of `keys` (of the same
+    type), or by how="left_anti" those whose isn't for certain. Keys are hashed to the
+    bits of a map, so a few rows that agree with a key's bit alone count as meeting:
+    a join that follows decides. The map is broadcast and has at most MAP_WORDS rows;
+    with very many keys it is full, and then all rows meet. Neither side may be null."""
+
+    def place(name: str) -> tuple[str, str]:
+        h = f"xxhash64(`{name}`)"
+        return f"pmod(shiftright({h}, 6), {MAP_WORDS}L)", f"shiftleft(1L, cast(pmod({h}, 64L) as int))"
+
+    word, bit = place(keys.columns[0])
+    bits = keys.select(F.expr(word).alias("__word"), F.expr(bit).alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    word, bit = place(column)
+    return df.join(F.broadcast(bits), F.expr(f"{word} = __word and (__bits & {bit}) <> 0"), how)
+
+
 def row_key(*columns: str):
     """A 64-bit key of a row, made of the named columns; null is a value of its own."""
     parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]

@@ -23,6 +23,9 @@ linked group are never listed, and no pair is left out at the end.
 Each pair, of prints or of buckets, is then held against a wider sketch (two to four
 cells a shingle) before whole sets are read, for sets are the bulk of the work.
 
+Texts, sketches and sets are shuffled only for the classes that a step compares, and
+in the end for the rows that go: others are told by a map of bits (common.meeting).
+
 The order is that of the hashes with the most frequent shingles of a sample last,
 which keeps buckets small; it decides on the work, not on the result.
 
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from posframe.llm import simhash
 from posframe.llm.bpe import sliced
-from posframe.llm.common import Scratch, hashed_words, mix64, row_digest, texts
+from posframe.llm.common import Scratch, hashed_words, meeting, mix64, row_digest, texts
 from posframe.llm.components import components
 
 PRINTS, HUBS = 2, 4
@@ -192,7 +195,7 @@ def _buckets(it):
         yield held
 
 
-def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: float, width: int, marked: DataFrame | None) -> DataFrame:
+def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: float, width: int, marked: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of classes that share a shingle of their prefixes, are not in one
     component and may have the similarity by their sizes and sketches; (a, a) where a
     class has more such partners in a bucket than `width`, the nearest by the sketch.
@@ -248,9 +251,11 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, x].copy()) for x in (0, 1)], names=["a", "b"])
 
-    rows = shared.join(labelled.select("__c", "__root"), "__c")
-    several = rows.groupBy("__h").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__h")
-    rows = rows.join(several, "__h", "left_semi").join(one.select("__c", "__size", "__sketch"), "__c")
+    labels = labelled.select("__c", "__root")
+    several = scratch.stored(shared.join(labels, "__c").groupBy("__h").agg(F.min("__root").alias("x"), F.max("__root").alias("y")).filter("x <> y").select("__h"))
+    rows = scratch.stored(meeting(shared, "__h", several).join(several, "__h", "left_semi"))
+    of = rows.select("__c")
+    rows = rows.join(meeting(labels, "__c", of), "__c").join(meeting(one.select("__c", "__size", "__sketch"), "__c", of), "__c")
     rows = rows.withColumn("__mark", F.lit(True)) if marked is None else rows.join(marked.withColumn("__mark", F.lit(True)), "__c", "left").fillna(False, "__mark")
     rows = rows.select("__h", "__root", "__c", "__size", "__sketch", "__mark").repartition("__h").sortWithinPartitions("__h")
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -346,22 +351,26 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     named = met.join(of.select(F.col("__fp").alias("a"), F.col("__r").alias("x")), "a").join(of.select(F.col("__fp").alias("b"), F.col("__r").alias("y")), "b")
     pairs = named.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
 
+    def ends(pairs):
+        return pairs.select(F.explode(F.array("a", "b")).alias("__c"))
+
     def passing(pairs):
-        return scratch.stored(_passing(pairs, one, similarity))
+        pairs = scratch.stored(pairs)
+        return scratch.stored(_passing(pairs, meeting(one, "__c", ends(pairs)), similarity))
 
     made: list[DataFrame] = []  # the sets of classes, as they are needed
 
     def verified(pairs):
         """The links of pairs; only the sets of classes that are in a pair are made, and once."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("__c")).distinct()
+        wanted = ends(pairs).distinct()
         for x in made:
             wanted = wanted.join(x.select("__c"), "__c", "left_anti")
-        keys = scratch.stored(one.join(wanted, "__c", "left_semi").select("__c", F.col("__first.__key").alias("__key")))
+        keys = scratch.stored(meeting(one, "__c", wanted).join(wanted, "__c", "left_semi").select("__c", F.col("__first.__key").alias("__key")))
         if not made or not keys.isEmpty():
             # texts are shuffled, not sorted, and alike at every size
-            some = keyed.select("__key", F.col(text).alias("__text")).join(keys.hint("shuffle_hash"), "__key").dropDuplicates(["__c"]).select("__c", "__text")
+            some = meeting(keyed.select("__key", F.col(text).alias("__text")), "__key", keys.select("__key")).join(keys.hint("shuffle_hash"), "__key").dropDuplicates(["__c"]).select("__c", "__text")
             made.append(scratch.stored(_sets_of(some, k)))
-        return scratch.stored(_verified(pairs, reduce(DataFrame.unionByName, made), similarity))
+        return scratch.stored(_verified(pairs, meeting(reduce(DataFrame.unionByName, made), "__c", ends(pairs)), similarity))
 
     def rooted(links):
         roots = components(links, scratch=scratch).withColumnRenamed("node", "__c")
@@ -370,14 +379,14 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     shared = scratch.stored(_shared(one))
     # pairs of prints that pass are taken for links to find what is apart beside them, and all are verified at once
     pairs = passing(pairs)
-    late = _apart(shared, rooted(pairs), one, similarity, width, None).filter("a <> b")
+    late = _apart(shared, rooted(pairs), one, similarity, width, None, scratch).filter("a <> b")
     tested = scratch.stored(pairs.unionByName(passing(late)).distinct())
     links = verified(tested)
     labelled = rooted(links)
     # then all pairs that are still apart and weren't tested
     marked, more = None, True
     while more:
-        late = scratch.stored(_apart(shared, labelled, one, similarity, width, marked))
+        late = scratch.stored(_apart(shared, labelled, one, similarity, width, marked, scratch))
         marked = late.filter("a = b").select(F.col("a").alias("__c"))
         more = not marked.isEmpty()
         late = passing(late.filter("a <> b").join(tested, ["a", "b"], "left_anti"))
@@ -389,7 +398,10 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
         width *= 8
     stay = labelled.groupBy("__root").agg(F.min("__first").alias("__first")).select(F.col("__first.__key").alias("__key"))
     again = own.groupBy("__key").count().filter("count > 1").select("__key", F.lit(True).alias("__again"))
-    stay = scratch.kept(stay.join(again, "__key", "left").select("__key", F.coalesce("__again", F.lit(False)).alias("__again")))
-    # only texts of rows that occur again are shuffled to keep one of each
-    out = keyed.join(stay.hint("shuffle_hash"), "__key")
-    return out.filter("not __again").select(docs.columns).unionByName(out.filter("__again").dropDuplicates(["__key"]).select(docs.columns))
+    stay = scratch.stored(stay.join(again, "__key", "left").select("__key", F.coalesce("__again", F.lit(False)).alias("__again")))
+    # rows that neither go nor occur again stay where they are; of the others, those that stay are found by a join
+    touched = scratch.stored(own.select("__key").join(stay.filter("not __again"), "__key", "left_anti").distinct())
+    scratch.clear(but=2)
+    out = meeting(keyed, "__key", touched).join(stay.hint("shuffle_hash"), "__key")
+    alone = meeting(keyed, "__key", touched, "left_anti").select(docs.columns)
+    return alone.unionByName(out.filter("not __again").select(docs.columns)).unionByName(out.filter("__again").dropDuplicates(["__key"]).select(docs.columns))
