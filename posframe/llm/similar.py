@@ -13,8 +13,11 @@ What that leaves apart is completed exactly, class by class, so that no link
 depends on a fingerprint, a hub or a class that stands for others. In any one order
 of all shingles, the first n - 0.8 n + 1 of a set of n and of each set linked to it
 have one in common. So the classes that share one of these are compared, if they are
-not in one component yet: by size and by a sketch (the parities of the shingles in
-512 cells: no more of them differ than shingles do; of long sets it says nothing).
+not in one component yet: by size, by the shingle's places in both orders (at the
+first common one, enough shingles for the similarity follow in either set, so the
+bucket of that one lists the pair and those of later ones needn't) and by a sketch (the
+parities of the shingles in 512 cells: no more of them differ than shingles do; of long
+sets it says nothing).
 In a large bucket a class is paired with its `width` nearest by the sketch; classes
 with more are marked, and while there are such, the round is repeated for them, with
 eight times the width, over what is still apart and untested. So pairs within a
@@ -159,23 +162,25 @@ def _frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def _shared(one: DataFrame) -> DataFrame:
-    """__h and __c: the classes that have a shingle __h in their prefix, of those that several have."""
+    """__h, __c and __p: the classes that have a shingle __h in their prefix, of those
+    that several have, and its place there (from 0)."""
 
     def rows(it):
         for batch in it:
             for part in sliced(batch, 4096):
                 own = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
                 c = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(c)], names=["__h", "__c"])
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(c), pa.array(place)], names=["__h", "__c", "__p"])
 
     def several(it):
-        for h, c in _buckets(it):
+        for h, c, place in _buckets(it):
             again = np.r_[False, h[1:] == h[:-1]]
             keep = again | np.r_[again[1:], False]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(c[keep])], names=["__h", "__c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, place)], names=["__h", "__c", "__p"])
 
-    made = one.select("__c", "__prefix").mapInArrow(rows, "__h long, __c long")
-    return made.repartition("__h").sortWithinPartitions("__h").mapInArrow(several, "__h long, __c long")
+    made = one.select("__c", "__prefix").mapInArrow(rows, "__h long, __c long, __p int")
+    return made.repartition("__h").sortWithinPartitions("__h").mapInArrow(several, "__h long, __c long, __p int")
 
 
 def _buckets(it):
@@ -202,17 +207,20 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
     Where classes (__c) are marked, only pairs with one of them, for others have no more.
     Buckets of one component are found by an aggregate, before sketches are joined."""
 
-    def near(root, size, cells, known, i, j):
-        """Of pairs of places, those that may have the similarity, and how many cells differ."""
+    def near(root, size, place, cells, known, i, j):
+        """Of pairs of rows, those that may have the similarity with the bucket's shingle
+        as their first common one, and how many cells differ."""
         x, y = size[i], size[j]
         ok = (root[i] != root[j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
+        both = (x + y) * similarity / (1 + similarity) - 1e-6
+        ok &= (place[i] <= x - both) & (place[j] <= y - both)
         i, j = i[ok], j[ok]
         differ = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
         ok = (differ <= most_differing(size[i] + size[j], similarity)) | ~(known[i] & known[j])
         return i[ok], j[ok], differ[ok]
 
     def run(it):
-        for h, root, c, size, raw, mark in _buckets(it):
+        for h, root, c, size, place, raw, mark in _buckets(it):
             mark = mark.astype(bool)
             known = np.fromiter((len(x) > 0 for x in raw), dtype=bool, count=len(h))
             cells = np.frombuffer(b"".join(x or bytes(CELLS // 8) for x in raw), np.uint64).reshape(len(h), -1)
@@ -234,7 +242,7 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
                 i = i[mark[i] | mark[i + d]]
                 for at in range(0, len(i), 1 << 16):
                     part = i[at : at + (1 << 16)]
-                    found(*near(root, size, cells, known, part, part + d)[:2])
+                    found(*near(root, size, place, cells, known, part, part + d)[:2])
             # of a large one, all but the members of the component that has most are compared with all
             for s, n in zip(start[length > 2 * width], length[length > 2 * width], strict=True):
                 back, sizes = np.unique(root[s : s + n], return_inverse=True, return_counts=True)[1:]
@@ -243,7 +251,7 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
                 for i in s + np.flatnonzero((back != np.argmax(sizes)) & mark[s : s + n]):
                     low, high = np.searchsorted(sorted_sizes, [similarity * size[i] - 1e-6, size[i] / similarity + 1e-6])
                     others = by_size[low : high + 1]
-                    _, j, differ = near(root, size, cells, known, np.full(len(others), i), others)
+                    _, j, differ = near(root, size, place, cells, known, np.full(len(others), i), others)
                     if len(j) > width:
                         j = np.r_[i, j[np.lexsort((c[j], differ))[:width]]]
                     found(np.full(len(j), i), j)
@@ -257,7 +265,7 @@ def _apart(shared: DataFrame, labelled: DataFrame, one: DataFrame, similarity: f
     of = rows.select("__c")
     rows = rows.join(meeting(labels, "__c", of), "__c").join(meeting(one.select("__c", "__size", "__sketch"), "__c", of), "__c")
     rows = rows.withColumn("__mark", F.lit(True)) if marked is None else rows.join(marked.withColumn("__mark", F.lit(True)), "__c", "left").fillna(False, "__mark")
-    rows = rows.select("__h", "__root", "__c", "__size", "__sketch", "__mark").repartition("__h").sortWithinPartitions("__h")
+    rows = rows.select("__h", "__root", "__c", "__size", "__p", "__sketch", "__mark").repartition("__h").sortWithinPartitions("__h")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
