@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from posframe.operators import access, ingest, sampling, validate
+from posframe.operators import access, ingest, sampling, scoring, validate
 from posframe.sources import positions as P
 from posframe.streaming import ingest as stream
 
@@ -77,3 +77,34 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = stream.rates(source).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("rates").agg(F.sum("n")).first()[0] == raw.count()
+
+
+def test_forward_shuffles_nothing(spark, sf_dir):
+    """Each row is scored where it is read: two sums a row shuffled were many times the input."""
+    from posframe.plans import catalog
+
+    plan = catalog.forward_pass(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_forward_by_hand(spark):
+    """Odd rows: null, empty and repeated features, ids without a vector, a null idx, null components, repeated vectors."""
+    rows = [(0, 0, 2, [3, 5]), (1, 1, 30, [3, 700]), (2, 0, 2, []), (3, 1, 9, None), (4, 0, 40, [5, 5, 701]), (None, 0, 2, [3]), (5, None, None, [3]), (6, 0, 7, [-9, 2000])]
+    pos = spark.createDataFrame(rows, "idx long, stm int, piece_count int, features array<int>")
+    vectors = [(3, [0.25, None]), (3, [0.25, 0.5]), (5, [0.125, -0.5]), (443, [0.5, 0.75]), (700, None), (2000, [0.5, 0.5]), (10**12, [9.0, 9.0])]
+    weights = spark.createDataFrame(vectors, "f long, w array<double>")
+    head = scoring.Head([[0.5, 0.25, -0.5, 0.125], [0.25] * 4], [[1.0 + b, -0.5] for b in range(8)], [0.125, 0.0], [b / 8 for b in range(8)], [0.0625, 0.125])
+    act = lambda x: min(max(x, 0.0), 1.0) ** 2
+    flip = lambda f: (1 - f // 384) * 384 + (f % 384) // 64 * 64 + (f % 64 ^ 56)
+    want = {}
+    for i, stm, n, fs in rows:
+        fs = fs or []
+        sides = [fs, [flip(f) for f in fs if 0 <= f < 768]]
+        x = [act(b + sum(w[j] or 0.0 for f in s for g, w in vectors if w and g == f)) for s in (sides[::-1] if stm == 1 else sides) for j, b in enumerate(head.feature_bias)]
+        hidden = [act(sum(a * b for a, b in zip(x, row, strict=True)) + bias) for row, bias in zip(head.hidden, head.hidden_bias, strict=True)]
+        bucket = 0 if n is None else min(max((n - 2) // 4, 0), 7)
+        want[i] = (bucket, sum(a * b for a, b in zip(hidden, head.out[bucket], strict=True)) + head.out_bias[bucket])
+    got = {r.idx: (r.bucket, r.out) for r in scoring.forward(pos, weights, head).collect()}
+    assert set(got) == set(want) - {None}
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in got)
+    assert scoring.forward(pos.limit(0), weights, head).count() == 0
