@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,25 +62,41 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return Scratch(df.sparkSession).stored(df, codec)
 
 
-#: Words of 64 bits in a map of keys: no more rows than this are broadcast, however many keys there are.
-MAP_WORDS = 1 << 19
+#: Rows of WORDS words of 64 bits in a map of keys: no more than this are broadcast, however many keys there are.
+MAP_ROWS, WORDS = 1 << 16, 8
+
+
+def _place(name: str) -> tuple[str, str, str]:
+    """A key's row, word and bit in a map, as SQL."""
+    h = f"xxhash64(`{name}`)"
+    return f"pmod(shiftright({h}, {6 + WORDS.bit_length() - 1}), {MAP_ROWS}L)", f"pmod(shiftright({h}, 6), {WORDS}L)", f"shiftleft(1L, cast(pmod({h}, 64L) as int))"
+
+
+def key_map(keys: DataFrame) -> DataFrame:
+    """__row and its words __w0, __w1, ..., for the only column of `keys`. Several words a row
+    spare the driver most of what a row takes besides its word."""
+    row, word, bit = _place(keys.columns[0])
+    each = keys.select(F.expr(row).alias("__row"), F.expr(word).alias("__word"), F.expr(bit).alias("__bit"))
+    return each.groupBy("__row").agg(*[F.expr(f"bit_or(if(__word = {i}, __bit, 0L))").alias(f"__w{i}") for i in range(WORDS)])
 
 
 def meeting(df: DataFrame, column: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of df whose `column` may be in the only column of `keys` (of the same
     type), or by how="left_anti" those whose isn't for certain. Keys are hashed to the
     bits of a map, so a few rows that agree with a key's bit alone count as meeting:
-    a join that follows decides. The map is broadcast and has at most MAP_WORDS rows;
+    a join that follows decides. The map is broadcast and has at most MAP_ROWS rows;
     with very many keys it is full, and then all rows meet. Neither side may be null."""
+    row, word, bit = _place(column)
+    own = " ".join(f"when {i} then __w{i}" for i in range(WORDS))
+    return df.join(F.broadcast(key_map(keys)), F.expr(f"{row} = __row and ((case {word} {own} end) & {bit}) <> 0"), how)
 
-    def place(name: str) -> tuple[str, str]:
-        h = f"xxhash64(`{name}`)"
-        return f"pmod(shiftright({h}, 6), {MAP_WORDS}L)", f"shiftleft(1L, cast(pmod({h}, 64L) as int))"
 
-    word, bit = place(keys.columns[0])
-    bits = keys.select(F.expr(word).alias("__word"), F.expr(bit).alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
-    word, bit = place(column)
-    return df.join(F.broadcast(bits), F.expr(f"{word} = __word and (__bits & {bit}) <> 0"), how)
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. Broadcast tables and shuffle files of queries that
+    have ended go only then; a run of many small queries otherwise gathers them until the
+    driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def row_key(*columns: str):

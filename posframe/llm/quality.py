@@ -72,6 +72,17 @@ def features(text: bytes, bits: int = BITS) -> np.ndarray:
     return slots[np.r_[True, slots[1:] != slots[:-1]]]
 
 
+def in_one(rows, size: int, dtype) -> list[np.ndarray]:
+    """Copies of arrays of `size` numbers in all, as parts of one array. Thousands of arrays of
+    a few KB each would leave the driver's heap in pieces that it keeps when they are gone."""
+    flat, out, at = np.empty(size, dtype), [], 0
+    for x in rows:
+        flat[at : at + len(x)] = x
+        out.append(flat[at : at + len(x)])
+        at += len(x)
+    return out
+
+
 def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> np.ndarray:
     """Weights (the bias last) of the hinge-loss model over the scaled indicators:
     each round visits the rows in a random order and moves each one's dual
@@ -79,10 +90,12 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     w = np.zeros(len(ratios) + 1)
     sign = np.where(labels > 0, 1.0, -1.0)
     weight = np.where(labels > 0, cost, cost * max(1.0, (labels > 0).sum() / max(1, (labels <= 0).sum())))
-    values = []
-    for x in rows:
+
+    def scaled(x):
         v = ratios[x]
-        values.append(v / max(1e-9, np.sqrt(v @ v)) if len(v) else v)
+        return v / max(1e-9, np.sqrt(v @ v)) if len(v) else v
+
+    values = in_one(map(scaled, rows), sum(map(len, rows)), np.float64)
     norms = np.array([v @ v + 1 for v in values])
     alpha = np.zeros(len(rows))
     order = np.random.default_rng(seed)
@@ -176,7 +189,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", doc_id:
     near = rows.filter((F.shiftrightunsigned("h", 1) < int(share * (2**63 - 1)))) if share < 1 else rows
     sample = near.orderBy(F.shiftrightunsigned("h", 1), "y").limit(sample_rows).select("y", "x").toArrow()
     y = sample["y"].to_numpy()
-    x = [np.frombuffer(v.as_py(), np.int32) for v in sample["x"]]
+    x = in_one((np.frombuffer(v.as_py(), np.int32) for v in sample["x"]), sum(len(v.as_buffer()) // 4 for v in sample["x"]), np.int32)
     if len(set(y.tolist())) < 2:
         return Model(None, None, 0, 0, (total1 + 1) / (total0 + total1 + 2))
     w = dual_descent(x, y, ratios)

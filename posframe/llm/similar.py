@@ -28,6 +28,7 @@ cells a shingle) before whole sets are read, for sets are the bulk of the work.
 
 Texts, sketches and sets are shuffled only for the classes that a step compares, and
 in the end for the rows that go: others are told by a map of bits (common.meeting).
+The maps of ended steps are dropped from the driver after each step (common.release).
 
 The order is that of the hashes with the most frequent shingles of a sample last,
 which keeps buckets small; it decides on the work, not on the result.
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 
 from posframe.llm import simhash
 from posframe.llm.bpe import sliced
-from posframe.llm.common import Scratch, hashed_words, meeting, mix64, row_digest, texts
+from posframe.llm.common import Scratch, hashed_words, meeting, mix64, release, row_digest, texts
 from posframe.llm.components import components
 
 PRINTS, HUBS = 2, 4
@@ -364,6 +365,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
 
     def passing(pairs):
         pairs = scratch.stored(pairs)
+        release(docs.sparkSession)
         return scratch.stored(_passing(pairs, meeting(one, "__c", ends(pairs)), similarity))
 
     made: list[DataFrame] = []  # the sets of classes, as they are needed
@@ -378,11 +380,15 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
             # texts are shuffled, not sorted, and alike at every size
             some = meeting(keyed.select("__key", F.col(text).alias("__text")), "__key", keys.select("__key")).join(keys.hint("shuffle_hash"), "__key").dropDuplicates(["__c"]).select("__c", "__text")
             made.append(scratch.stored(_sets_of(some, k)))
-        return scratch.stored(_verified(pairs, meeting(reduce(DataFrame.unionByName, made), "__c", ends(pairs)), similarity))
+        links = scratch.stored(_verified(pairs, meeting(reduce(DataFrame.unionByName, made), "__c", ends(pairs)), similarity))
+        release(docs.sparkSession)
+        return links
 
     def rooted(links):
         roots = components(links, scratch=scratch).withColumnRenamed("node", "__c")
-        return scratch.stored(one.select("__c", "__first").join(roots, "__c", "left").select("__c", "__first", F.coalesce("root", "__c").alias("__root")))
+        labelled = scratch.stored(one.select("__c", "__first").join(roots, "__c", "left").select("__c", "__first", F.coalesce("root", "__c").alias("__root")))
+        release(docs.sparkSession)
+        return labelled
 
     shared = scratch.stored(_shared(one))
     # pairs of prints that pass are taken for links to find what is apart beside them, and all are verified at once
@@ -410,6 +416,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     # rows that neither go nor occur again stay where they are; of the others, those that stay are found by a join
     touched = scratch.stored(own.select("__key").join(stay.filter("not __again"), "__key", "left_anti").distinct())
     scratch.clear(but=2)
+    release(docs.sparkSession)
     out = meeting(keyed, "__key", touched).join(stay.hint("shuffle_hash"), "__key")
     alone = meeting(keyed, "__key", touched, "left_anti").select(docs.columns)
     return alone.unionByName(out.filter("not __again").select(docs.columns)).unionByName(out.filter("__again").dropDuplicates(["__key"]).select(docs.columns))

@@ -53,3 +53,11 @@ def test_edges(spark, frame):
     assert quality.score(frame([]), model).count() == 0
     assert quality.fit(docs.join(labels.filter("quality = 1"), "doc_id")).flat == pytest.approx(41 / 42)
     assert quality.fit(docs.join(labels.filter("false"), "doc_id")).flat == 0.5
+
+
+def test_arrays_in_one():
+    """Rows of features are parts of one array, which goes back as a whole."""
+    rows = [np.arange(n, dtype=np.int32) for n in (3, 0, 5)]
+    made = quality.in_one(iter(rows), 8, np.int32)
+    assert [x.tolist() for x in made] == [x.tolist() for x in rows]
+    assert all(x.base is made[0].base for x in made)

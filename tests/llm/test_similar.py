@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from posframe.llm import similar
+from posframe.llm import common, similar
 from posframe.llm.common import table
 
 
@@ -159,3 +159,13 @@ def test_sets():
     for text in ["", "one", "a b c d", "a b c d e", "a b c d e f g a b c d e"]:
         made, words = similar.sets([text.encode()])[0]
         assert len(made) == len(shingles(text)) and len(words) == len(set(text.split()))
+
+
+def test_map_of_keys(spark):
+    """A map has few rows, however many keys; all keys meet, few others do, and the rest is the anti join."""
+    keys, all_ = spark.range(0, 600_000, 2), spark.range(600_000)
+    assert common.key_map(keys).count() <= 1 << 16
+    met, rest = common.meeting(all_, "id", keys), common.meeting(all_, "id", keys, "left_anti")
+    assert met.filter("id % 2 = 0").count() == 300_000 and met.filter("id % 2 = 1").count() < 6000
+    assert met.count() + rest.count() == 600_000
+    assert common.meeting(all_, "id", keys.limit(0)).count() == 0
