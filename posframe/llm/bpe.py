@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from posframe.llm.common import trim
+
 #: The split of the byte-level vocabularies; words may be cut apart at spaces only for it.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space on both sides of a space (or a space run at the end): only there can a match hold a space that does not start it.
@@ -251,9 +253,10 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str
 
 
 def sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, so that what is made of them stays small."""
+    """Slices of a batch, so that what is made of them stays small; what was freed goes back in the end."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    trim()
 
 
 def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:

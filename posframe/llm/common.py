@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -99,6 +100,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives back to the system what this process has freed. Arrow's pool and the C heap keep
+    it otherwise, in a worker for as long as it lives, idle or in later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def trimmed(it: Iterator) -> Iterator:
+    """it, with what was freed given back after each item."""
+    for x in it:
+        yield x
+        del x
+        trim()
+
+
 def row_key(*columns: str):
     """A 64-bit key of a row, made of the named columns; null is a value of its own."""
     parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]

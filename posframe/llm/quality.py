@@ -53,7 +53,7 @@ class Shapes(WordHashes):
         return h
 
 
-_SHAPES, _WORDS = Shapes(200_000, 1), WordHashes(200_000, 2)
+_SHAPES, _WORDS = Shapes(1 << 16, 1), WordHashes(1 << 16, 2)
 
 
 def features(text: bytes, bits: int = BITS) -> np.ndarray:

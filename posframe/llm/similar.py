@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from posframe.llm import simhash
 from posframe.llm.bpe import sliced
-from posframe.llm.common import Scratch, hashed_words, meeting, mix64, release, row_digest, texts
+from posframe.llm.common import Scratch, hashed_words, meeting, mix64, release, row_digest, texts, trimmed
 from posframe.llm.components import components
 
 PRINTS, HUBS = 2, 4
@@ -187,7 +187,7 @@ def _shared(one: DataFrame) -> DataFrame:
 def _buckets(it):
     """The columns of batches sorted by the first as arrays, cut so that no bucket (equal values of the first) is parted."""
     held = None
-    for batch in it:
+    for batch in trimmed(it):
         own = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
         if held is not None:
             own = [np.concatenate([a, b]) for a, b in zip(held, own, strict=True)]
@@ -313,7 +313,7 @@ def _passing(pairs: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes that may have the similarity by their sizes and wider sketches."""
 
     def run(it):
-        for batch in it:
+        for batch in trimmed(it):
             a, b, m, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             ok = np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6
             most = most_differing(m + n, similarity)
@@ -329,7 +329,7 @@ def _verified(pairs: DataFrame, sets_: DataFrame, similarity: float) -> DataFram
     """The pairs (a, b) of classes whose sets have the similarity."""
 
     def run(it):
-        for batch in it:
+        for batch in trimmed(it):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)

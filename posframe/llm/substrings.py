@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posframe.llm.bpe import sliced
-from posframe.llm.common import Scratch, WordHashes, mix64, row_key, table, texts, words
+from posframe.llm.common import Scratch, WordHashes, mix64, row_key, table, texts, trim, trimmed, words
 
 WINDOW, ANCHOR = 35, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -87,7 +87,7 @@ class Parsed:
     """
 
     rolling = Rolling()
-    known = WordHashes()
+    known = WordHashes(1 << 16)
 
     def __init__(self, docs: list[bytes], window: int, anchor: int):
         self.window, self.anchor = window, anchor
@@ -173,11 +173,13 @@ def _blocks(sent: DataFrame, shards: int, schema: str, reduce) -> DataFrame:
 
     def run(it):
         held: dict[str, list] = {}
-        for batch in it:
+        for batch in trimmed(it):
             for c in batch.schema.names[1:]:
                 held.setdefault(c, []).extend(x.as_py() for x in batch.column(c) if x.is_valid)
         if held:
             yield from reduce(held).to_batches(max_chunksize=4096)
+        held.clear()
+        trim()
 
     return sent.repartitionById(shards, "shard").mapInArrow(run, schema)
 
@@ -226,6 +228,8 @@ def repeated_anchors(docs: DataFrame, shards: int, window: int, anchor: int, flu
                     keys, owners, held = [], [], 0
         if held:
             yield out()
+            keys, owners = [], []
+            trim()
 
     def reduce(columns):
         keys, owners, many, own_keys, own_owners = (_joined(columns[c], np.uint64) for c in names)
@@ -333,6 +337,8 @@ def parsed_windows(docs: DataFrame, shards: int, window: int, anchor: int, flush
                     rows, held = [], 0
         if held:
             yield out()
+            rows = []
+            trim()
 
     def reduce(columns):
         got = {c: _joined(columns[c], k) for c, k in kinds.items()}

@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -105,3 +108,42 @@ def test_sliding():
     x = np.random.default_rng(1).integers(0, 50, 200)
     for w in (1, 2, 3, 7, 16, 20):
         assert (substrings.sliding(np.minimum, x, w) == [x[i : i + w].min() for i in range(200 - w + 1)]).all()
+
+
+WORKER = """
+import random, re
+import pyarrow as pa
+from posframe.llm import substrings
+
+def used():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon:\\s+(\\d+)", f.read())[1]) / 1024
+
+class Plan:
+    def mapInArrow(self, run, schema):
+        self.runs = [*getattr(self, "runs", []), run]
+        return self
+    def repartitionById(self, *args):
+        return self
+
+def batches(n):
+    for _ in range(n):
+        texts = [" ".join(f"{random.randrange(1 << 19):x}" for _ in range(200)) for _ in range(4096)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(4096), pa.int64()), pa.array(texts)], names=["k", "t"])
+        del texts
+
+random.seed(1)
+send = substrings.repeated_anchors(Plan(), 8, 35, 16).runs[0]
+before = used()
+rows = sum(x.num_rows for x in send(batches(2)))
+print(rows, used() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory is read from /proc")
+def test_worker_gives_memory_back():
+    """What a worker has freed goes back to the system and the words it remembers are few: it lives
+    on, idle or in later stages, and counts as the executor's memory."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    rows, mb = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, check=True, cwd=root).stdout.split()[-2:]
+    assert int(rows) and float(mb) < 90
